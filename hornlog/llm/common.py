@@ -78,28 +78,120 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names], strict=True)
 
 
-class Vocabulary:
-    """Distinct words of one task's rows with a 64-bit hash each; starts anew beyond ``most`` words, so memory is bounded."""
-
-    def __init__(self, hasher, most: int = 400_000):
-        self.hasher, self.most = hasher, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.hashes = np.empty(1 << 12, np.uint64)
-
-    def encode(self, found: list[bytes]) -> np.ndarray:
-        """Hashes of the words, in order."""
-        ids = self.ids
-        if len(ids) > self.most:
-            self.clear()
-            ids = self.ids
-        fresh = [w for w in set(found) if w not in ids]
-        if fresh:
-            n = len(ids)
-            ids.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-            if len(ids) > len(self.hashes):
-                self.hashes = np.resize(self.hashes, max(len(ids), 2 * len(self.hashes)))
-            self.hashes[n : len(ids)] = np.fromiter(map(self.hasher, fresh), np.uint64, len(fresh))
-        return self.hashes[np.fromiter(map(ids.__getitem__, found), np.int64, len(found))]
+def _byte_set(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table
+
+
+SPACE = _byte_set(b" \t\n\v\f\r")
+NEWLINE = _byte_set(b"\n")
+_PIECE = 4 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTE_CODES = mix64(np.arange(1, 513, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(2, 256)
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, x)])) for x in (_ODD, _ODD_INVERSE)]
+    return _powers[0], _powers[1]
+
+
+class Segments:
+    """The segments (words, lines) of many texts at once, by 64-bit hashes of their bytes.
+
+    ``starts`` has where each text's segments begin in ``hash``, and one more
+    entry; ``first`` and ``end`` are byte places in ``raw``, which is all texts
+    joined by a separator.  ``second`` asks for another 64 bits in ``hash2``.
+    Work goes in pieces of a few MB, so that memory follows the text itself.
+    """
+
+    def __init__(self, texts: list[str | None], apart: np.ndarray = SPACE, lower: bool = False, second: bool = False):
+        parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        joined = (b" " if apart[32] else b"\n").join(parts)
+        self.bytes = joined.translate(ASCII_LOWER) if lower else joined
+        self.raw = np.frombuffer(self.bytes, np.uint8)
+        self.text_at = np.concatenate([[0], np.cumsum(np.array([len(p) + 1 for p in parts], np.int64))])
+        free = apart[self.raw]
+        out = {k: [] for k in ("first", "end", "hash", "hash2")}
+        a = 0
+        while a < len(self.raw):
+            b = min(len(self.raw), a + _PIECE)
+            while b < len(self.raw) and not free[b]:  # never inside a segment
+                more = free[b : b + _PIECE]
+                b += int(more.argmax()) if more.any() else len(more)
+            self._piece(a, b, free[a:b], second, out)
+            a = b
+        self.first, self.end = (np.concatenate([np.empty(0, np.int64), *out[k]]) for k in ("first", "end"))
+        self.hash, self.hash2 = (np.concatenate([np.empty(0, np.uint64), *out[k]]) for k in ("hash", "hash2"))
+        self.starts = np.searchsorted(self.first, self.text_at)
+        self.n = np.diff(self.starts)
+
+    def _piece(self, a, b, free, second, out) -> None:
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], free, [True]]).view(np.int8)))
+        first, end = edge[::2], edge[1::2]
+        up, down = _power_tables(b - a + 1)
+        with np.errstate(over="ignore"):
+            for k in range(1 + second):
+                total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_CODES[k][self.raw[a:b]] * up[: b - a])])
+                h = (total[end] - total[first]) * down[first]
+                out["hash2" if k else "hash"].append(mix64(h + (end - first).astype(np.uint64)))
+        out["first"].append(first + a)
+        out["end"].append(end + a)
+
+    def which(self) -> np.ndarray:
+        """The number of the text that each segment is of."""
+        return np.repeat(np.arange(len(self.n)), self.n)
+
+    def per_text(self, weights: np.ndarray) -> np.ndarray:
+        """Sums of a weight for each segment, by text."""
+        return sums(weights, self.starts)
+
+    def bytes_per_text(self, wanted: np.ndarray) -> np.ndarray:
+        """How many bytes of each text are wanted (a flag for each byte of ``raw``)."""
+        return sums(wanted, np.minimum(self.text_at, len(self.raw)))
+
+
+def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    return total[starts[1:]] - total[starts[:-1]]
+
+
+def sequence_hash(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` successive entries."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        if width > 8:  # by differences of prefix sums
+            up, down = _power_tables(len(h) + 1)
+            total = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
+            return mix64((total[width:] - total[:n]) * down[:n])
+        out = h[:n].copy()
+        for k in range(1, width):
+            out = out * _ODD + h[k : n + k]
+        return mix64(out)
+
+
+def inside(starts: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of the n - width + 1 successive windows stay within one text."""
+    keep = np.ones(max(0, n - width + 1), bool)
+    for k in range(1, width):
+        at = starts[1:-1] - k
+        keep[at[(at >= 0) & (at < len(keep))]] = False
+    return keep
+
+
+def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most`` bytes of text, so that memory does not follow the batch size."""
+    for batch in batches:
+        column = batch.column(text_column)
+        lens = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in column], np.int64) if len(column) else np.empty(0, np.int64)
+        a, total = 0, np.cumsum(lens)
+        while a < len(lens):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+            yield batch.slice(a, b - a)
+            a = b

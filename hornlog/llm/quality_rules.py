@@ -4,9 +4,10 @@ Two multinomials over hashed word unigrams and bigrams are counted: one over
 the trusted target (labelled good documents), one over the whole raw corpus.
 A document's score is the mean log ratio of its n-grams, so long and short
 documents compare; it is kept if the score reaches a threshold that the target
-itself sets: ``quantile`` of the scores of a bounded sample of target documents.
-All counts cover every document.  The target is the ``target_rows`` labelled
-good documents whose hashed ids come first, a documented bound.
+itself sets, a margin below ``quantile`` of the scores of labelled good documents whose words
+were left out of the target's counts (one id in five, by crc32).  The raw counts
+cover every document.  The target is the ``target_rows`` labelled good documents
+whose hashed ids come first, a documented bound.
 
 Defined cases: a null or empty text has no words, all counts 0, score 0 and
 fails the base rules; repeated rows are each judged and counted; a document
@@ -17,8 +18,6 @@ alone decide; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocabulary, mix64, pick
+from .common import NEWLINE, SPACE, Segments, bounded, crc_fold, inside, mix64, pick, sequence_hash
 
 BUCKETS = 1 << 15
 TARGET_ROWS = 20_000
-THRESHOLD_ROWS = 4_000
-QUANTILE = 0.005
-_SYMBOLS = re.compile(rb"[#*$%&|<>]")
-_SALT = np.uint64(0x9E3779B97F4A7C15)
+QUANTILE = 0.002
+#: The threshold lies below that quantile by this share of its distance from the median.
+MARGIN = 0.5
+_SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 RULES = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -41,75 +40,54 @@ RULES = (
 )
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
-    if not text:
-        return 0, 0, 0, 0, 0
-    raw = text.encode("utf-8", "surrogatepass")
-    found = raw.split()
-    chars = sum(map(len, found)) if len(raw) == len(text) else sum(len(w.decode("utf-8", "surrogatepass")) for w in found)
-    lines = [line for line in raw.split(b"\n") if line.split(None, 1)]
-    return len(found), chars, len(_SYMBOLS.findall(raw)), len(lines) - len(set(lines)), repeat_words(found)
-
-
-def repeat_words(found: list[bytes]) -> int:
-    """Words inside 3-word windows that stand in the text at least twice, the first time included."""
-    n = len(found)
-    if n < 4:
-        return 0
-    ids: dict[bytes, int] = {}
-    x = np.fromiter((ids.setdefault(w, len(ids)) for w in found), np.int64, n)
-    if len(ids) == n:
-        return 0
-    wide = len(ids)
-    if wide < 2_000_000:
-        key = (x[:-2] * wide + x[1:-1]) * wide + x[2:]
-    else:  # beyond 63 bits: number the pairs first
-        _, pair = np.unique(x[:-1] * wide + x[1:], return_inverse=True)
-        key = pair[:-1] * wide + x[2:]
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(n - 2, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    cover = np.zeros(n, bool)
-    for k in range(3):
-        cover[k : n - 2 + k] |= twice
-    return int(cover.sum())
+def base_counts(texts: list[str | None], w: Segments) -> np.ndarray:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every text, whose words are ``w``."""
+    black = ~SPACE[w.raw]
+    chars = w.bytes_per_text(black & (w.raw & 0xC0 != 0x80))
+    symbols = w.bytes_per_text(_SYMBOLS[w.raw])
+    lines = Segments(texts, NEWLINE)
+    total = np.concatenate([[0], np.cumsum(~SPACE[lines.raw])])
+    worded = total[lines.end] > total[lines.first]
+    text_of = lines.which()[worded]
+    with np.errstate(over="ignore"):
+        key = mix64(lines.hash[worded] + mix64(text_of.astype(np.uint64)))
+    _, once = np.unique(key, return_index=True)
+    n_lines = np.bincount(text_of, minlength=len(texts))
+    dup = n_lines - np.bincount(text_of[once], minlength=len(texts))
+    return np.stack([w.n, chars, symbols, dup, w.per_text(repeated(w))], axis=1).astype(np.int64)
 
 
-def ngram_buckets(h: np.ndarray, starts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigram buckets of all words, bigram buckets of neighbours (after position 0), and which neighbours share a document."""
-    uni = (h % np.uint64(buckets)).astype(np.int64)
-    if len(h) < 2:
-        return uni, np.empty(0, np.int64), np.empty(0, bool)
+def repeated(w: Segments) -> np.ndarray:
+    """Which words are inside a 3-word window that stands in its text at least twice, the first time included."""
+    cover = np.zeros(len(w.hash), bool)
+    at = np.flatnonzero(inside(w.starts, len(w.hash), 3))
     with np.errstate(over="ignore"):
-        bi = (mix64(h[:-1] * _SALT + h[1:]) % np.uint64(buckets)).astype(np.int64)
-    inside = np.ones(len(h) - 1, bool)
-    inside[starts[(starts > 0) & (starts < len(h))] - 1] = False
-    return uni, bi, inside
+        key = mix64(sequence_hash(w.hash, 3)[at] + mix64(w.which()[at].astype(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    twice = at[np.unique(np.concatenate([order[1:][same], order[:-1][same]]))]
+    for k in range(3):
+        cover[twice + k] = True
+    return cover
 
 
-def _hash(word: bytes) -> int:
-    return zlib.crc32(word) * 0x9E3779B1 & 0xFFFFFFFFFFFF
+def ngram_buckets(w: Segments, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unigram buckets of all words, bigram buckets of neighbours, and which neighbours share a text."""
+    modulus = np.uint64(buckets)
+    return (w.hash % modulus).astype(np.int64), (sequence_hash(w.hash, 2) % modulus).astype(np.int64), inside(w.starts, len(w.hash), 2)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary):
-    """For each Arrow batch of (id, text, ...): the batch, word lists, hashes of all words, document starts and lengths."""
-    for batch in batches:
-        found = [t.split() if t else [] for t in (x.as_py() and x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(1))]
-        n = np.array([len(f) for f in found], np.int64)
-        starts = np.concatenate([[0], np.cumsum(n)])
-        yield batch, vocabulary.encode([w for f in found for w in f]), starts, n
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None], Segments]]:
+    for batch in bounded(batches):
+        texts = batch.column(1).to_pylist()
+        yield batch.column(0), texts, Segments(texts)
 
 
-def _score(batch_h, starts, n, table, buckets) -> np.ndarray:
-    uni, bi, inside = ngram_buckets(batch_h, starts[:-1], buckets)
-    gain = np.zeros(len(batch_h))
-    gain += table[uni]
-    gain[1:] += np.where(inside, table[bi], 0.0)
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    return (total[starts[1:]] - total[starts[:-1]]) / np.maximum(2 * n - 1, 1)
+def _score(w: Segments, table: np.ndarray) -> np.ndarray:
+    uni, bi, within = ngram_buckets(w, len(table))
+    gain = table[uni]
+    gain[1:] += np.where(within, table[bi], 0.0)
+    return w.per_text(gain) / np.maximum(2 * w.n - 1, 1)
 
 
 def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, quantile: float = QUANTILE):
@@ -120,15 +98,16 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
     )
     ids = [r["doc_id"] for r in chosen.collect()]
-    target = spark.sparkContext.broadcast(frozenset(ids))
+    aside = [i for i in ids if crc_fold(i, 5) == 0]
+    target = spark.sparkContext.broadcast(frozenset(ids) - frozenset(aside))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, sums = target.value, np.zeros((2, buckets), np.int64)
-        for batch, h, starts, n in _batches(batches, Vocabulary(_hash)):
-            uni, bi, inside = ngram_buckets(h, starts[:-1], buckets)
-            good = np.repeat(np.array([i in wanted for i in batch.column(0).to_pylist()], bool), n)
-            sums[0] += np.bincount(uni, minlength=buckets) + np.bincount(bi[inside], minlength=buckets)
-            both = inside & good[1:] if len(h) > 1 else inside
+        for ids, _, w in _batches(batches):
+            uni, bi, within = ngram_buckets(w, buckets)
+            good = np.repeat(np.array([i in wanted for i in ids.to_pylist()], bool), w.n)
+            sums[0] += np.bincount(uni, minlength=buckets) + np.bincount(bi[within], minlength=buckets)
+            both = within & good[1:]
             sums[1] += np.bincount(uni[good], minlength=buckets) + np.bincount(bi[both], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], ["bucket", "raw", "good"])
 
@@ -140,22 +119,22 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_
     if not good.sum():
         return np.zeros(buckets), 0.0
     table = np.log((good + 1) / (good.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
-    few = spark.createDataFrame([(i,) for i in ids[:THRESHOLD_ROWS]], "doc_id bigint")
+    few = spark.createDataFrame([(i,) for i in aside], "doc_id bigint")
     sample = docs.join(F.broadcast(few), "doc_id", "left_semi")
-    at = score(sample, table, -np.inf, buckets).where("n_words >= 50").agg(F.percentile("llr", F.lit(quantile)).alias("t")).first()["t"]
-    return table, 0.0 if at is None else float(at)
+    at = score(sample, table, -np.inf).where("n_words >= 50").agg(F.percentile("llr", F.array(F.lit(quantile), F.lit(0.5))).alias("t")).first()["t"]
+    return table, 0.0 if at is None else float(at[0] - MARGIN * (at[1] - at[0]))
 
 
-def score(documents: DataFrame, table: np.ndarray, threshold: float, buckets: int = BUCKETS) -> DataFrame:
+def score(documents: DataFrame, table: np.ndarray, threshold: float) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(table)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, h, starts, n in _batches(batches, Vocabulary(_hash)):
-            llr = _score(h, starts, n, held.value, buckets)
-            base = np.array([base_counts(x.as_py()) for x in batch.column(1)], np.int64).reshape(-1, 5)
+        for ids, texts, w in _batches(batches):
+            llr = _score(w, held.value)
+            base = base_counts(texts, w)
             failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.ascontiguousarray(base[:, k])) for k in range(5)), pa.array(failed), pa.array(~failed & (llr >= threshold)), pa.array(llr)],
+                [ids, *(pa.array(np.ascontiguousarray(base[:, k])) for k in range(5)), pa.array(failed), pa.array(~failed & (llr >= threshold)), pa.array(llr)],
                 RULES.replace(" bigint", "").replace(" boolean", "").replace(" double", "").split(", "),
             )
 
@@ -164,4 +143,4 @@ def score(documents: DataFrame, table: np.ndarray, threshold: float, buckets: in
 
 def quality_rules(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
     table, threshold = fit(documents, labels, **how)
-    return score(documents, table, threshold, len(table))
+    return score(documents, table, threshold)
