@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, neardup, quality_rules, substring, url_filters
+from . import bpe, decontam, langid, licenses, neardup, quality_clf, quality_rules, substring, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumnRenamed("kept", "kept_sha256")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_clf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,4 +53,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).withColumnRenamed("file_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_url_filters, op5_near_duplicates, op6_substring_dedup, op9_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_url_filters, op5_near_duplicates, op6_substring_dedup, op7_quality_classifier, op8_language_id, op9_quality_rules, op10_license_scan)}
