@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, neardup, quality_clf, quality_rules, substring, url_filters
+from . import bpe, decontam, langid, licenses, lm_scoring, neardup, quality_clf, quality_rules, substring, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages, url_filters.outcomes_of(pages, table(spark, sf_dir, "labels")))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -53,4 +57,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).withColumnRenamed("file_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_url_filters, op5_near_duplicates, op6_substring_dedup, op7_quality_classifier, op8_language_id, op9_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_url_filters, op4_lm_scoring, op5_near_duplicates, op6_substring_dedup, op7_quality_classifier, op8_language_id, op9_quality_rules, op10_license_scan)}
