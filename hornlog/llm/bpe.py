@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import bounded, pick
 
@@ -228,3 +229,22 @@ def digest(documents: DataFrame, path: str | None = None) -> DataFrame:
             )
 
     return pick(documents, "doc_id", "text").mapInArrow(run, ENCODED)
+
+
+def with_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """All columns and n_tokens and token_ids; the text is what decoding the ids gives."""
+    held = _held(documents, path)
+    place = documents.columns.index("text")
+    schema = T.StructType([*documents.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(held.value)
+        for batch in bounded(batches, place, 2 << 20):
+            ids = model.encode_batch(batch.column(place).to_pylist())
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            columns = list(batch.columns)
+            columns[place] = pa.array([model.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n), lists], schema.names)
+
+    return documents.mapInArrow(run, schema)

@@ -180,3 +180,17 @@ def score(documents: DataFrame, vectors: np.ndarray, network: Network) -> DataFr
 
 def classify(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     return score(documents, *fit(documents, labels, train_rows))
+
+
+def accepted(documents: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
+    """The rows, with all columns, whose text reaches LIMIT."""
+    held = documents.sparkSession.sparkContext.broadcast((vectors, network))
+    place = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, network = held.value
+        for batch in bounded(batches, place):
+            p = network.score(pooled(batch.column(place).to_pylist(), vectors).astype(np.float64))
+            yield batch.filter(pa.array(p >= LIMIT))
+
+    return documents.mapInArrow(run, documents.schema)

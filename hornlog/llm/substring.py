@@ -92,10 +92,14 @@ def whole_copies(docs: DataFrame) -> DataFrame:
     return materialize(copies.join(several, "doc_id", "left_anti"), "copies")
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool = True, carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept of every row: the kept words joined by one space, or with ``keep_text=False`` only
-    the SHA-256 of that (lowercase hex)."""
-    docs = pick(documents, "doc_id", "text")
+    the SHA-256 of that (lowercase hex).  ``carry`` names columns that go along in a struct ``carried``; with ``as_is`` a text
+    of which nothing is removed stays as it is."""
+    docs = pick(documents, "doc_id", "text", *carry)
+    with_carried = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried"))
+    carried_type = with_carried.schema["carried"].dataType.simpleString()
+    docs = docs.select("doc_id", "text")
     period, cover = cover_for(window)
     length = window - period + 1
     copies = whole_copies(docs)
@@ -140,17 +144,17 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
                 elif whole[k]:
                     out.append("")
                 else:
-                    out.append(_kept(w, k, None))
+                    out.append(t if as_is else _kept(w, k, None))
             if not keep_text:
                 out = [t if candidate[k] and not whole[k] else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for k, t in enumerate(out)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(w.n), pa.array(candidate & ~whole), pa.array(out, pa.string()), _lists(text, h1, m), _lists(text, h2, m), pa.array(np.where(whole, w.n, 0))],
-                ["doc_id", "n_words", "candidate", "text", "h1", "h2", "n_removed"],
+                [batch.column(0), pa.array(w.n), pa.array(candidate & ~whole), pa.array(out, pa.string()), _lists(text, h1, m), _lists(text, h2, m), pa.array(np.where(whole, w.n, 0)), batch.column(4)],
+                ["doc_id", "n_words", "candidate", "text", "h1", "h2", "n_removed", "carried"],
             )
 
-    flagged = docs.join(bound(copies.withColumn("copy", F.lit(True))), "doc_id", "left").join(marked, "doc_id", "left")
-    flagged = flagged.select("doc_id", "text", "shared", F.coalesce("copy", F.lit(False)).alias("copy"))
-    judged = materialize(flagged.mapInArrow(windows, _PASS + ", n_removed bigint"), "windows")
+    flagged = with_carried.join(bound(copies.withColumn("copy", F.lit(True))), "doc_id", "left").join(marked, "doc_id", "left")
+    flagged = flagged.select("doc_id", "text", "shared", F.coalesce("copy", F.lit(False)).alias("copy"), "carried")
+    judged = materialize(flagged.mapInArrow(windows, f"{_PASS}, n_removed bigint, carried {carried_type}"), "windows")
 
     each = judged.where("candidate").select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_id", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
     least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
@@ -169,14 +173,17 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
             np.add.at(cover_up, start, 1)
             np.add.at(cover_up, start + window, -1)
             gone = np.cumsum(cover_up)[:n] > 0
-            kept = [_kept(w, k, gone) for k in range(len(texts))]
+            removed = w.per_text(gone)
+            kept = [texts[k] if as_is and not removed[k] else _kept(w, k, gone) for k in range(len(texts))]
             if not keep_text:
                 kept = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.n), pa.array(w.per_text(gone)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.n), pa.array(removed), pa.array(kept, pa.string()), batch.column(3)], ["doc_id", "n_words", "n_removed", "kept", "carried"])
 
-    done = judged.where("not candidate").select("doc_id", "n_words", "n_removed", F.col("text").alias("kept"))
-    rest = judged.where("candidate").select("doc_id", "text").join(hits, "doc_id", "left").mapInArrow(finish, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
-    return done.unionByName(rest)
+    done = judged.where("not candidate").select("doc_id", "n_words", "n_removed", F.col("text").alias("kept"), "carried")
+    rest = judged.where("candidate").select("doc_id", "text", "carried").join(hits, "doc_id", "left").select("doc_id", "text", "hits", "carried")
+    rest = rest.mapInArrow(finish, f"doc_id bigint, n_words bigint, n_removed bigint, kept string, carried {carried_type}")
+    both = done.unionByName(rest)
+    return both if carry else both.drop("carried")
 
 
 def _kept(w: Segments, k: int, gone: np.ndarray | None) -> str:
