@@ -58,3 +58,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_url_filters, op4_lm_scoring, op5_near_duplicates, op6_substring_dedup, op7_quality_classifier, op8_language_id, op9_quality_rules, op10_license_scan)}
+
+ORACLE: dict[str, str] = {}
