@@ -106,7 +106,7 @@ PROGRAMS: dict[str, tuple[str, str, str, str, str]] = {
     "tc": ("", "Arc", "x: number, y: number", "R(x, y) :- Arc(x, y). R(x, z) :- R(x, y), Arc(y, z).", _TC.format(e="q_Arc") + " SELECT x, y FROM t"),
     "tc_deep": ("", "Deep", "x: number, y: number", "R(x, y) :- Deep(x, y). R(x, z) :- R(x, y), Deep(y, z).", _TC.format(e="q_Deep") + " SELECT x, y FROM t"),
     "nonlinear_tc": ("", "Deep", "x: number, y: number", "R(x, y) :- Deep(x, y). R(x, z) :- R(x, y), R(y, z).", _TC.format(e="q_Deep") + " SELECT x, y FROM t"),
-    "reach": ("", "Deep", "y: number", "R(y) :- Deep(1, y). R(z) :- R(y), Deep(y, z).", "WITH RECURSIVE t AS (SELECT y FROM q_Deep WHERE x = 1 UNION SELECT e.y FROM t JOIN q_Deep e ON t.y = e.x) SELECT y FROM t"),
+    "reach": ("", "Deep", "y: number", "R(y) :- Deep(60, y). R(z) :- R(y), Deep(y, z).", "WITH RECURSIVE t AS (SELECT y FROM q_Deep WHERE x = 60 UNION SELECT e.y FROM t JOIN q_Deep e ON t.y = e.x) SELECT y FROM t"),
     "sg": (
         "", "Arc", "x: number, y: number", "R(x, y) :- Arc(a, x), Arc(a, y), x != y. R(x, y) :- Arc(a, x), R(a, b), Arc(b, y).",
         "WITH RECURSIVE t AS (SELECT a.y AS x, b.y AS y FROM q_Arc a JOIN q_Arc b ON a.x = b.x WHERE a.y <> b.y UNION SELECT a.y, b.y FROM t JOIN q_Arc a ON a.x = t.x JOIN q_Arc b ON b.x = t.y) SELECT x, y FROM t",
@@ -116,8 +116,8 @@ PROGRAMS: dict[str, tuple[str, str, str, str, str]] = {
         "WITH RECURSIVE t AS (SELECT x AS n, x AS c FROM q_Arc UNION SELECT e.y, t.c FROM t JOIN q_Arc e ON t.n = e.x) SELECT n, min(c) AS c FROM t GROUP BY n",
     ),
     "sssp": (
-        "", "WDeep", "y: number, d: number", "D(y, min(w)) :- WDeep(1, y, w). D(z, min(d + w)) :- D(y, d), WDeep(y, z, w), d < 60. R(y, min(d)) :- D(y, d).",
-        "WITH RECURSIVE t AS (SELECT y, w AS d FROM q_WDeep WHERE x = 1 UNION SELECT e.y, t.d + e.w FROM t JOIN q_WDeep e ON t.y = e.x WHERE t.d < 60) SELECT y, min(d) AS d FROM t GROUP BY y",
+        "", "WDeep", "y: number, d: number", "D(y, min(w)) :- WDeep(60, y, w). D(z, min(d + w)) :- D(y, d), WDeep(y, z, w), d < 60. R(y, min(d)) :- D(y, d).",
+        "WITH RECURSIVE t AS (SELECT y, w AS d FROM q_WDeep WHERE x = 60 UNION SELECT e.y, t.d + e.w FROM t JOIN q_WDeep e ON t.y = e.x WHERE t.d < 60) SELECT y, min(d) AS d FROM t GROUP BY y",
     ),
     "bipartite": (
         "", "Deep", "x: number", "Zero(1) :- Deep(1, _). One(y) :- Deep(x, y), Zero(x). One(x) :- Deep(x, y), Zero(y). Zero(y) :- Deep(x, y), One(x). Zero(x) :- Deep(x, y), One(y). R(x) :- One(x), Zero(x).",
@@ -129,12 +129,12 @@ PROGRAMS: dict[str, tuple[str, str, str, str, str]] = {
         "WITH RECURSIVE t AS (SELECT x, y, 1 AS k FROM q_Arc UNION SELECT t.x, e.y, 1 - t.k FROM t JOIN q_Arc e ON t.y = e.x) SELECT DISTINCT x, y FROM t WHERE k = 0",
     ),
     "negation_after_recursion": (
-        "", "Deep", "x: number", "N(x) :- Deep(x, _). N(y) :- Deep(_, y). T(y) :- Deep(1, y). T(z) :- T(y), Deep(y, z). R(x) :- N(x), !T(x).",
-        "WITH RECURSIVE t AS (SELECT y FROM q_Deep WHERE x = 1 UNION SELECT e.y FROM t JOIN q_Deep e ON t.y = e.x) SELECT x FROM (SELECT x FROM q_Deep UNION SELECT y FROM q_Deep) EXCEPT SELECT y FROM t",
+        "", "Deep", "x: number", "N(x) :- Deep(x, _). N(y) :- Deep(_, y). T(y) :- Deep(60, y). T(z) :- T(y), Deep(y, z). R(x) :- N(x), !T(x).",
+        "WITH RECURSIVE t AS (SELECT y FROM q_Deep WHERE x = 60 UNION SELECT e.y FROM t JOIN q_Deep e ON t.y = e.x) SELECT x FROM (SELECT x FROM q_Deep UNION SELECT y FROM q_Deep) EXCEPT SELECT y FROM t",
     ),
     "recursion_with_arithmetic": (
-        "", "Deep", "y: number, d: number", "R(y, 1) :- Deep(1, y). R(z, d + 1) :- R(y, d), Deep(y, z), d < 4.",
-        "WITH RECURSIVE t AS (SELECT y, CAST(1 AS BIGINT) AS d FROM q_Deep WHERE x = 1 UNION SELECT e.y, t.d + 1 FROM t JOIN q_Deep e ON t.y = e.x WHERE t.d < 4) SELECT y, d FROM t",
+        "", "Deep", "y: number, d: number", "R(y, 1) :- Deep(60, y). R(z, d + 1) :- R(y, d), Deep(y, z), d < 4.",
+        "WITH RECURSIVE t AS (SELECT y, CAST(1 AS BIGINT) AS d FROM q_Deep WHERE x = 60 UNION SELECT e.y, t.d + 1 FROM t JOIN q_Deep e ON t.y = e.x WHERE t.d < 4) SELECT y, d FROM t",
     ),
     "udf_bind": (_PYTHON, "Li", "o: number, v: number", "R(o, v) :- Li(o, _, _, q), v = @call(capped, q, 20).", "SELECT DISTINCT o, least(q, 20) AS v FROM q_Li"),
     "udf_filter": (_PYTHON, "Cust Nation", "c: number", "R(c) :- Cust(c, n, _), @call(even, c), Nation(n, _, 1).", "SELECT DISTINCT c FROM q_Cust JOIN q_Nation USING (n) WHERE c % 2 = 0 AND r = 1"),

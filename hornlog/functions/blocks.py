@@ -77,8 +77,9 @@ def _udf(f: Function, rule: int, lenient: bool) -> Callable[..., Column]:
             out.append(value)
         return pd.Series(out, dtype={"int": "int64", "str": "object", "bool": "bool"}[wanted])
 
-    run.__annotations__ = {}
-    return F.pandas_udf(run, returnType=_TYPES[wanted], functionType=F.PandasUDFType.SCALAR)
+    udf = F.pandas_udf(run, returnType=_TYPES[wanted])
+    # a call that may fault must not be moved below a join that drops its row
+    return udf if lenient else udf.asNondeterministic()
 
 
 def read_blocks(program: Program) -> dict[str, Function]:
