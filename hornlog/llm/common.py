@@ -36,11 +36,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # shuffle files of what led here may go: the driver drops them when it collects garbage
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, by exact position of their first match, so that extra columns never clash."""
+    """Only the named columns, so that extra ones never clash; Arrow batches of them are kept to a few MB."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
@@ -89,7 +99,7 @@ def _byte_set(chars: bytes) -> np.ndarray:
 
 SPACE = _byte_set(b" \t\n\v\f\r")
 NEWLINE = _byte_set(b"\n")
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_CODES = mix64(np.arange(1, 513, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(2, 256)
@@ -188,7 +198,7 @@ def inside(starts: np.ndarray, n: int, width: int) -> np.ndarray:
     return keep
 
 
-def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text, so that memory does not follow the batch size."""
     for batch in batches:
         column = batch.column(text_column)

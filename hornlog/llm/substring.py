@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Segments, bounded, inside, materialize, mix64, pick, sequence_hash
+from .common import Segments, bounded, discard, inside, materialize, mix64, pick, sequence_hash
 
 #: Perfect difference covers by period: every difference modulo the period occurs.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
@@ -117,7 +117,9 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
     rows = docs.where("doc_id is not null").join(bound(copies), "doc_id", "left_anti").mapInArrow(anchor_rows, "h bigint, doc_id bigint")
     rows = materialize(rows, "anchors")
     shared = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    shared = materialize(shared, "shared")
     marked = materialize(rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("shared")), "marked")
+    discard(rows)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
