@@ -214,8 +214,9 @@ def near(w: Windows, keys: np.ndarray, first: np.ndarray, slop: int) -> tuple[np
             which, start = np.repeat(which, span), np.repeat(pos, span) - (np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span))
             for k in range(1, w.vid.shape[1]):
                 vid = w.vid[which, w.rank[which, k]]
-                at = np.minimum(np.searchsorted(keys, (np.maximum(vid, 0) << 32) | np.maximum(start, 0)), len(keys) - 1)
-                keep = (vid < 0) | ((keys[at] >> 32 == vid) & ((keys[at] & 0xFFFFFFFF) < start + w.lens[which] + slop))
+                want = (np.maximum(vid, 0) << 32) | np.maximum(start, 0)
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                keep = (vid < 0) | ((keys[at] >= want) & (keys[at] >> 32 == vid) & ((keys[at] & 0xFFFFFFFF) < start + w.lens[which] + slop))
                 which, start = which[keep], start[keep]
             both = np.unique(np.stack([which, np.maximum(start, 0)]), axis=1)
             out.append((both[0], both[1]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, lm_scoring, neardup, quality_clf, quality_rules, substring, url_filters
+from . import bpe, decontam, langid, licenses, lm_scoring, neardup, oracles, quality_clf, quality_rules, substring, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,4 +59,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_url_filters, op4_lm_scoring, op5_near_duplicates, op6_substring_dedup, op7_quality_classifier, op8_language_id, op9_quality_rules, op10_license_scan)}
 
-ORACLE: dict[str, str] = {}
+ORACLE = oracles.ORACLE
