@@ -158,7 +158,7 @@ def frames(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, Data
             if f"FROM {t}" in sql:
                 spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(prefix + t)
                 sql = sql.replace(f"FROM {t}", f"FROM {prefix}{t}")
-        out[name] = spark.sql(sql)
+        out[name] = spark.sql(sql.replace("SELECT DISTINCT", "SELECT", 1))  # relations are sets by meaning, however often a row is given
     return out
 
 

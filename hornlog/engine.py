@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 import threading
 import time
 from dataclasses import dataclass, field
@@ -105,15 +103,17 @@ class Engine:
             with self._lock:
                 self._running += 1
             try:
-                run = Evaluation(self.spark, program, limits, self.config.max_rounds)
+                run = Evaluation(self.spark, program, limits, self.config.max_rounds, options.profile_path)
                 with run.watched():
                     given = from_frames(program, frames or {})
                     if facts is not None:
                         given = read_directory(self.spark, program, facts, self.config.delimiter) | given
                     given |= from_rows(self.spark, program, rows or {})
                     planned = time.monotonic()
+                    run.phase = "evaluating"
                     states = self._interpret(run, program, strata, given)
                     executed = time.monotonic()
+                    run.phase = "settling"
                     sizes = {}
                     for relation in sorted(states):
                         if relation in program.heads():
@@ -132,10 +132,7 @@ class Engine:
             "settle_micros": micros(executed, settled), "total_micros": micros(began, time.monotonic()), "materialized_rows": run.tuples,
         }
         if options.profile_path:
-            rules = sorted(({"rule": str(program.rules[k]), "line": program.rules[k].line, "seconds": s} for k, s in run.rule_seconds.items()), key=lambda x: -x["seconds"])
-            with open(options.profile_path + ".new", "w") as f:
-                json.dump({"phase": "done", "rules": rules, "sizes": sizes, "stats": stats}, f)
-            os.replace(options.profile_path + ".new", options.profile_path)
+            run.profile("done", sizes=sizes, stats=stats)
         return Result(program, self._named(program, states), stats, witnesses, sizes)
 
     def _interpret(self, run: Evaluation, program: Program, strata: list[Stratum], given: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -150,8 +147,10 @@ class Engine:
         return inter.states
 
     def _named(self, program: Program, states: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        heads = set(program.heads())
         with wrapping(self.spark):
-            return {n: df.toDF(*program.columns(n)) if program.types[n] else df for n, df in states.items()}
+            sets = {n: df if n in heads else df.distinct() for n, df in states.items()}
+            return {n: df.toDF(*program.columns(n)) if program.types[n] else df for n, df in sets.items()}
 
     def _explain(self, program: Program, states: dict[str, DataFrame], options: EvaluationOptions) -> list[dict]:
         explainer = Explainer(self.spark, program, states)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import tempfile
 import threading
@@ -53,8 +55,9 @@ class Limits:
 class Evaluation:
     """One run: cuts lineage, watches limits, turns faults into diagnostics."""
 
-    def __init__(self, spark: SparkSession, program: Program, limits: Limits, max_rounds: int):
-        self.spark, self.program, self.limits, self.max_rounds = spark, program, limits, max_rounds
+    def __init__(self, spark: SparkSession, program: Program, limits: Limits, max_rounds: int, profile_path: str | None = None):
+        self.spark, self.program, self.limits, self.max_rounds, self.profile_path = spark, program, limits, max_rounds, profile_path
+        self.phase = "planning"
         self.began = time.monotonic()
         self.tag = f"hornlog-{uuid.uuid4().hex}"
         self.over: str | None = None
@@ -81,9 +84,21 @@ class Evaluation:
             context.removeJobTag(self.tag)
 
     def _watch(self) -> None:
+        written = 0.0
         while not self._done.wait(0.05):
             if self._crossed():
                 self.spark.sparkContext.cancelJobsWithTag(self.tag)
+            if self.profile_path and time.monotonic() - written >= 0.5:
+                written = time.monotonic()
+                self.profile(self.phase)
+
+    def profile(self, phase: str, **more) -> None:
+        """Rewrite the profile file: phase, rounds, and rules by the seconds spent on them."""
+        seconds = dict(self.rule_seconds)
+        rules = [{"rule": str(self.program.rules[k]), "line": self.program.rules[k].line, "seconds": s} for k, s in sorted(seconds.items(), key=lambda x: -x[1])]
+        with open(self.profile_path + ".new", "w") as f:
+            json.dump({"phase": phase, "rounds": self.rounds, "elapsed": time.monotonic() - self.began, "tuples": self.tuples, "rules": rules} | more, f)
+        os.replace(self.profile_path + ".new", self.profile_path)
 
     def _crossed(self) -> str | None:
         if self.limits.cancel.is_set():

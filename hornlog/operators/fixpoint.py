@@ -36,6 +36,7 @@ class Interpreter:
         self.run, self.program, self.optimize, self.share = run, program, optimize, share
         self.spark = run.spark
         self.states: dict[str, DataFrame] = dict(facts)
+        self.given = set(facts)  # may still hold a row twice
         self.raw: dict[str, DataFrame] = {}  # head rows of aggregated relations, before aggregation
         self.facts_of: dict[str, DataFrame] = {}  # given rows of aggregated relations
         self.readers: dict[str, int] = {}
@@ -105,7 +106,7 @@ class Interpreter:
         if any(s and s[1].op in ("count", "sum") for s in shapes.values()):
             self._naive(stratum, heads)
             return
-        full: dict[str, list[DataFrame]] = {h: [self.run.cut(self.state(h))] for h in heads}
+        full: dict[str, list[DataFrame]] = {h: [self.run.cut(self.state(h).distinct() if h in self.given else self.state(h))] for h in heads}
         old = {h: self.empty(h) for h in heads}
         delta = {h: full[h][0] for h in heads}
         alive = {h: not delta[h].isEmpty() for h in heads}

@@ -97,7 +97,9 @@ def from_rows(spark: SparkSession, program: Program, rows: dict[str, list]) -> d
 
 
 def from_frames(program: Program, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """DataFrames, columns by position; whole numbers become 64-bit; a set."""
+    """DataFrames, columns by position; whole numbers become 64-bit.
+
+    They are sets by meaning, but are not made distinct here: every head is, so a large table is spared that shuffle."""
     out = {}
     for name, df in frames.items():
         if name not in program.decls or program.decls[name].role != "in":
@@ -109,5 +111,5 @@ def from_frames(program: Program, frames: dict[str, DataFrame]) -> dict[str, Dat
         if len(df.columns) != len(types):
             raise Diagnostic("input", f"{name} has {len(types)} columns, but is given {len(df.columns)}", relations=[name])
         positional = df.toDF(*[f"c{k}" for k in range(len(types))])
-        out[name] = positional.select(*[F.col(f"c{k}").cast("bigint" if t == NUMBER else "string").alias(f"c{k}") for k, t in enumerate(types)]).distinct()
+        out[name] = positional.select(*[F.col(f"c{k}").cast("bigint" if t == NUMBER else "string").alias(f"c{k}") for k, t in enumerate(types)])
     return out
