@@ -198,7 +198,7 @@ def inside(starts: np.ndarray, n: int, width: int) -> np.ndarray:
     return keep
 
 
-def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text, so that memory does not follow the batch size."""
     for batch in batches:
         column = batch.column(text_column)

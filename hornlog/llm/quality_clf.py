@@ -67,7 +67,7 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors()
         total = np.zeros(SLOTS * DIM)
-        for batch in bounded(batches, 0):
+        for batch in bounded(batches, 0, 1 << 20):
             w, word, shape = slots(batch.column(0).to_pylist())
             text = w.which()
             ok = np.flatnonzero(text[1:] == text[:-1])
@@ -155,7 +155,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     held = spark.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
+        for batch in bounded(batches, most=1 << 20):
             x = pooled(batch.column(1).to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
@@ -170,7 +170,7 @@ def score(documents: DataFrame, vectors: np.ndarray, network: Network) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = held.value
-        for batch in bounded(batches):
+        for batch in bounded(batches, most=1 << 20):
             p = network.score(pooled(batch.column(1).to_pylist(), vectors).astype(np.float64))
             out = [crc_fold(i, FOLDS) == HELD_OUT for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_()), pa.array(p), pa.array((p >= LIMIT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -189,7 +189,7 @@ def accepted(documents: DataFrame, vectors: np.ndarray, network: Network) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = held.value
-        for batch in bounded(batches, place):
+        for batch in bounded(batches, place, 1 << 20):
             p = network.score(pooled(batch.column(place).to_pylist(), vectors).astype(np.float64))
             yield batch.filter(pa.array(p >= LIMIT))
 
