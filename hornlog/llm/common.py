@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -198,6 +199,14 @@ def inside(starts: np.ndarray, n: int, width: int) -> np.ndarray:
     return keep
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text, so that memory does not follow the batch size."""
     for batch in batches:
@@ -208,3 +217,4 @@ def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int =
             b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
             yield batch.slice(a, b - a)
             a = b
+        _give_back()
