@@ -13,10 +13,11 @@ Candidates are never all pairs of a bucket.  Copies are settled first, by one
 128-bit hash per set.  Then every document of a bucket is compared with the
 bucket's smallest id; linked documents are contracted to components; only in
 buckets that still hold several components are the documents outside the
-largest one compared with the rest.  So no link between candidates that could
-join two components is left out.  A pair is estimated from registers first
-(agreement corrected for chance collisions) and dropped only far below the
-threshold; the others are confirmed on their full sets.
+largest one compared with the rest, so no link between candidates that could
+join two components is left out.  In larger buckets that is done block against
+block inside a task, which returns only what may be a link.  A pair is estimated
+from registers first (agreement corrected for chance collisions) and dropped only
+far below the threshold; the others are confirmed on their full sets.
 
 Defined cases: a document of fewer words than a shingle is one shingle of all
 its words; without words it is linked with nothing; a null id is never linked
@@ -41,6 +42,8 @@ EMPTY = 0xFFFF
 _REST, _MANTISSA = 52, 10
 #: Hash classes of the global order of shingles.
 CLASSES = 1 << 16
+#: Buckets up to this size are compared by a join, larger ones block by block.
+JOINED, BLOCK = 24, 512
 #: Ids of candidates that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -148,7 +151,7 @@ def _class_counts(reps: DataFrame) -> np.ndarray:
 
 
 def candidate_keys(reps: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, n): documents that may reach the threshold share a key."""
+    """(key, doc_id, n, band): documents that may reach the threshold share a key."""
     order = reps.sparkSession.sparkContext.broadcast(_class_counts(reps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +159,12 @@ def candidate_keys(reps: DataFrame, percent: int) -> DataFrame:
             ids, n = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
             raw, small = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             big = [k for k, x in enumerate(raw) if x is not None]
-            keys, who = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            keys, who, n_band = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
             if big:
                 bands = band_keys(np.frombuffer(b"".join(raw[k] for k in big), np.uint16).reshape(len(big), BUCKETS))
                 keys.append(bands.ravel())
                 who.append(np.repeat(np.array(big), bands.shape[1]))
+                n_band = bands.size
             for k, x in enumerate(small):
                 if x is not None:
                     s = np.frombuffer(x, np.uint64)
@@ -169,9 +173,9 @@ def candidate_keys(reps: DataFrame, percent: int) -> DataFrame:
                     keys.append(mix64(s[rank[:prefix]] ^ np.uint64(0xA4093822299F31D0)))
                     who.append(np.full(prefix, k))
             at = np.concatenate(who)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[at]), pa.array(n[at])], ["key", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[at]), pa.array(n[at]), pa.array(np.arange(len(at)) < n_band)], ["key", "doc_id", "n", "band"])
 
-    return reps.select("doc_id", "n", "registers", "small").mapInArrow(run, "key bigint, doc_id bigint, n bigint")
+    return reps.select("doc_id", "n", "registers", "small").mapInArrow(run, "key bigint, doc_id bigint, n bigint, band boolean")
 
 
 class Matcher:
@@ -264,6 +268,83 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of buckets that hold several components: what is outside the largest one with the rest.
+
+    Two sets that both have prefix keys meet there, so pairs of a band's bucket leave those out."""
+    placed = shared.select("key", "doc_id", "n", "band").join(labels, "doc_id", "left").select("key", "doc_id", "n", "band", F.coalesce("component", "doc_id").alias("c"))
+    placed = materialize(placed, "placed")
+    parts = placed.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("size")).where("parts > 1")
+    parts = parts.select("key", F.col("m.c").alias("main"), "size", (F.col("size") - F.col("m.count")).alias("out"))
+    mixed = materialize(placed.join(parts, "key").withColumn("is_small", F.col("n") <= SMALL * 100 // percent), "mixed")
+    wanted = ~(F.col("band") & F.col("is_small") & F.col("x_small")) & (F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("doc_id") > F.col("x")))
+    wanted = wanted & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent)
+
+    few = mixed.where(F.col("size") <= JOINED)
+    outside = few.where("c <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("is_small").alias("x_small"))
+    by_join = few.join(outside, "key").where(wanted).select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
+
+    # larger buckets: (block of outsiders, block of members) pairs, each one group
+    many = mixed.where(F.col("size") > JOINED)
+    blocks, out_blocks = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("out") / BLOCK)
+    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    mine_out = F.pmod(F.xxhash64("doc_id"), out_blocks).cast("int")
+    columns = ["key", "i", "j", "doc_id", "c", "main", "n", "band", "outside"]
+    out_rows = many.where("c <> main").select(
+        "*", mine_out.alias("i"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("j"), F.lit(True).alias("outside")
+    )
+    member_rows = many.select("*", F.explode(F.sequence(F.lit(0), out_blocks.cast("int") - 1)).alias("i"), mine.alias("j"), F.lit(False).alias("outside"))
+    rows = out_rows.select(*columns).union(member_rows.select(*columns))
+    sketched = rows.join(reps.dropDuplicates(["doc_id", "n"]).select("doc_id", "n", "registers", "small"), ["doc_id", "n"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b = block_links(table, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    by_block = sketched.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return by_join.union(by_block).distinct()
+
+
+def block_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an outsider and a member of one block pair that may be linked: exact where both sets are small, else estimated."""
+    outside, ids, c, n = (table[x].to_numpy(zero_copy_only=False) for x in ("outside", "doc_id", "c", "n"))
+    main, band = table["main"][0].as_py(), table["band"][0].as_py()
+    xs, ms = np.flatnonzero(outside), np.flatnonzero(~outside)
+    if not len(xs) or not len(ms):
+        return ids[:0], ids[:0]
+    small, raw = table["small"].to_pylist(), table["registers"].to_pylist()
+    is_small = np.array([s is not None for s in small])
+    nx, nm = n[xs][:, None], n[ms][None, :]
+    ok = (c[xs][:, None] != c[ms][None, :]) & ((c[ms] == main)[None, :] | (ids[ms][None, :] > ids[xs][:, None]))
+    ok &= np.minimum(nx, nm) * 100 >= np.maximum(nx, nm) * percent
+    both = is_small[xs][:, None] & is_small[ms][None, :]
+    hit = np.zeros_like(ok)
+    if not band and (ok & both).any():
+        sets = [np.frombuffer(small[k], np.uint64) if small[k] is not None else np.empty(0, np.uint64) for k in range(len(ids))]
+        flat = np.concatenate(sets)
+        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+        often = count > 1
+        place = np.cumsum(often) - 1
+        row = np.repeat(np.arange(len(ids)), [len(s) for s in sets])
+        keep = often[column]
+        flags = np.zeros((len(ids), int(often.sum())), np.float32)
+        flags[row[keep], place[column[keep]]] = 1
+        shared = np.rint(flags[xs] @ flags[ms].T).astype(np.int64)
+        hit |= ok & both & (100 * shared >= percent * (nx + nm - shared))
+    if (ok & ~both).any():
+        r = np.stack([np.frombuffer(x, np.uint16) if x is not None else np.full(BUCKETS, EMPTY, np.uint16) for x in raw])
+        sketched = np.array([x is not None for x in raw])
+        for k, x in enumerate(xs):
+            at = np.flatnonzero(ok[k] & ~both[k])
+            if len(at):
+                j, used = estimate(np.broadcast_to(r[x], (len(at), BUCKETS)), r[ms[at]], np.full(len(at), float(n[x])), n[ms[at]].astype(float))
+                t = percent / 100
+                hit[k, at] = ~(sketched[x] & sketched[ms[at]]) | (j >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
+    i, j = np.nonzero(hit)
+    a, b = ids[xs[i]], ids[ms[j]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links are shingle sets of Jaccard ``percent`` / 100 or more."""
     docs = pick(documents, "doc_id", "text")
@@ -289,16 +370,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     links = materialize(matcher.links(stars, "star").union(own), "links")
     labels = components(links)
 
-    # buckets of several components: what is outside the largest one is compared with the rest
-    placed = shared.select("key", "doc_id", "n").join(labels, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    placed = materialize(placed, "placed")
-    counts = placed.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = materialize(placed.join(counts.select("key", F.col("m.c").alias("main")), "key"), "mixed")
-    outside = mixed.where("c <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    inside_or_later = (F.col("c") == F.col("main")) | (F.col("doc_id") > F.col("x"))
-    rest = mixed.join(outside, "key").where(F.col("c") != F.col("cx")).where(inside_or_later).where(comparable("n", "nx"))
-    rest = rest.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
+    rest = materialize(_across(shared, labels, reps, percent).join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = matcher.links(rest, "rest")
         if not more.isEmpty():

@@ -54,3 +54,19 @@ def test_components_of_a_path(spark, n):
 
 def test_empty_table(spark, documents):
     assert neardup.near_duplicates(documents.limit(0)).count() == 0
+
+
+def test_one_large_family(spark):
+    """Variants of one text, some linked and some not: buckets beyond what a join compares."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows = []
+    for size in (100, 400):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        for _ in range(160):
+            text = list(base)
+            for _ in range(rng.randrange(1, 1 + size // 14)):
+                text[rng.randrange(size)] = rng.choice(vocabulary)
+            rows.append((len(rows) * 7 % 1000 + size * 1000, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(neardup.near_duplicates(df, 4)) == sorted(brute.near(rows, 4, 80), key=str)
