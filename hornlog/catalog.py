@@ -23,15 +23,22 @@ RELATIONS = {
         "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS o, CAST(l_partkey AS BIGINT) AS p, CAST(l_suppkey AS BIGINT) AS s, CAST(l_quantity AS BIGINT) AS q FROM lineitem",
     ),
     "Ev": ("e: number, u: number, type: symbol", "SELECT DISTINCT CAST(event_id AS BIGINT) AS e, CAST(user_id AS BIGINT) AS u, event_type AS type FROM events"),
+    # every order is one edge, to a lower node of its 64 orders' tree: closures grow with the table, not with its square
     "Arc": (
         "x: number, y: number",
-        "SELECT DISTINCT CAST(o_custkey AS BIGINT) AS x, CAST((o_orderkey * 7) % (SELECT count(*) FROM customer) AS BIGINT) AS y FROM orders "
-        "WHERE o_orderpriority LIKE '1-%' AND o_orderstatus = 'F' AND o_orderkey % 3 = 0",
+        "SELECT DISTINCT CAST(2 * (o_orderkey - o_orderkey % 64) + o_custkey % (o_orderkey % 64 + 1) AS BIGINT) AS x, "
+        "CAST(2 * (o_orderkey - o_orderkey % 64) + o_orderkey % 64 + 1 AS BIGINT) AS y FROM orders",
+    ),
+    # every line is one edge among the 32 nodes of its 16 orders, about two edges a node, with cycles
+    "Deep": (
+        "x: number, y: number",
+        "SELECT DISTINCT CAST(2 * (l_orderkey - l_orderkey % 16) + (l_suppkey + 13 * l_linenumber) % 32 AS BIGINT) AS x, "
+        "CAST(2 * (l_orderkey - l_orderkey % 16) + l_partkey % 32 AS BIGINT) AS y FROM lineitem",
     ),
-    "Deep": ("x: number, y: number", "SELECT DISTINCT CAST(l_suppkey % 200 AS BIGINT) AS x, CAST(l_partkey % 200 AS BIGINT) AS y FROM lineitem WHERE l_orderkey <= 60"),
     "WDeep": (
         "x: number, y: number, w: number",
-        "SELECT DISTINCT CAST(l_suppkey % 200 AS BIGINT) AS x, CAST(l_partkey % 200 AS BIGINT) AS y, CAST(l_linenumber AS BIGINT) AS w FROM lineitem WHERE l_orderkey <= 60",
+        "SELECT DISTINCT CAST(2 * (l_orderkey - l_orderkey % 16) + (l_suppkey + 13 * l_linenumber) % 32 AS BIGINT) AS x, "
+        "CAST(2 * (l_orderkey - l_orderkey % 16) + l_partkey % 32 AS BIGINT) AS y, CAST(l_linenumber AS BIGINT) AS w FROM lineitem",
     ),
 }
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

@@ -32,6 +32,19 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(want.fetchall())
 
 
+def test_edges_come_from_every_row(spark):
+    """Each order and each line is an edge of its relation, at any size of table; nothing is filtered."""
+    got = {n: {tuple(r) for r in df.collect()} for n, df in catalog.frames(spark, SMALL, ["Arc", "Deep", "WDeep"]).items()}
+    arc, deep = set(), set()
+    for r in spark.read.parquet(f"{SMALL}/orders.parquet").collect():
+        k = r["o_orderkey"] % 64
+        arc.add((2 * (r["o_orderkey"] - k) + r["o_custkey"] % (k + 1), 2 * (r["o_orderkey"] - k) + k + 1))
+    for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").collect():
+        b = r["l_orderkey"] // 16 * 32
+        deep.add((b + (r["l_suppkey"] + 13 * r["l_linenumber"]) % 32, b + r["l_partkey"] % 32, r["l_linenumber"]))
+    assert got == {"Arc": arc, "Deep": {d[:2] for d in deep}, "WDeep": deep} and len(arc) == 1500
+
+
 def test_symbol_ids(spark):
     assert symbol_id("main") == 967781862181635051
     row = spark.sql("SELECT 'main' AS s").select(symbol_id_column(__import__("pyspark").sql.functions.col("s")).alias("i")).first()
