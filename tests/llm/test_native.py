@@ -78,3 +78,22 @@ def test_licences_against_brute_force(spark):
         up = next((d for d in ("/".join(parts[:n]) for n in range(len(parts), 0, -1)) if d in granted), None)
         assert (r["license"], r["inherited_from"]) == ((granted[up][1], up) if up else (None, None)), p
     assert licenses.scan(files).count() == len(rows) + 1 and licenses.scan(files.limit(0)).count() == 0
+
+
+def test_licence_files_and_header_blocks(spark):
+    """Whole licence files, headers of several lines and SPDX tags, none of which has a line near a one-line template."""
+    full = dict(licenses.FULL_TEXTS)
+    gpl = "\n".join("# " + x for x in (
+        "Copyright (C) 2020 Somebody", "", "This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+        "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version.",
+    ))
+    rows = [
+        (0, "b/LICENSE", "Copyright (c) 2020, Somebody\n\n" + full["BSD-3-Clause"], "BSD-3-Clause", "file"), (1, "b/src/x.c", "int x;", "BSD-3-Clause", "inherited"),
+        (2, "i/COPYING", full["ISC"], "ISC", "file"), (3, "a/LICENSE.txt", full["Apache-2.0"], "Apache-2.0", "file"), (4, "g/LICENSE", full["GPL-3.0-only"], "GPL-3.0-only", "file"),
+        (5, "l/LICENSE", full["LGPL-3.0-only"], "LGPL-3.0-only", "file"), (6, "h/x.py", gpl + "\n\nx = 1\n" + "word " * 400, "GPL-3.0-or-later", "header"),
+        (7, "s/x.py", "# SPDX-License-Identifier: MIT\n" + "y " * 90, "MIT", "header"), (8, "s/y.py", "// SPDX-License-Identifier: Apache-2.0\n" + "y " * 90, "Apache-2.0", "header"),
+        (9, "s/z.py", "/* SPDX-License-Identifier: BSD-3-Clause */\n" + "y " * 90, "BSD-3-Clause", "header"), (10, "n/LICENSE", "nothing of the kind " * 9, None, "none"), (11, "n/z", "a warranty of the house", None, "none"),
+    ]
+    files = spark.createDataFrame([r[:3] for r in rows], "file_id bigint, path string, text string")
+    got = {r["file_id"]: (r["license"], r["origin"]) for r in licenses.scan(files).collect()}
+    assert got == {r[0]: r[3:] for r in rows}
