@@ -27,7 +27,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import materialize, pick
 
 #: Statements by which files name their licence, by SPDX identifier.
 TEMPLATES = (
@@ -189,10 +189,11 @@ def scan(files: DataFrame) -> DataFrame:
     several = F.array_distinct(F.concat(lines, blocks, F.array(text)))
     block = F.when((F.coalesce(F.size("found"), F.lit(0)) <= 0) & text.rlike(BLOCK_CUE), _nearest(several, HEADERS + FULL_TEXTS))
     of_lines = F.when(F.size("found") > 0, F.struct(F.array_max("found")["similarity"].alias("similarity"), F.array_max("found")["license"].alias("license"), F.aggregate("found", F.lit(0), lambda a, x: a + x["words"]).alias("words")))
-    own = own.select("file_id", "path", "dir", "named", F.coalesce(whole, of_lines, block).alias("own"), "text")
+    own = own.select("file_id", "path", "dir", "named", F.coalesce(whole, of_lines, block).alias("own"), n_words.alias("n_words"))
+    own = materialize(own, "license-own")  # each column below reads it; inlined, every one would compare the texts again
     own = own.select(
         "file_id", "path", "dir", F.col("own.license").alias("license"), F.col("own.similarity").alias("similarity"),
-        F.when(F.col("own").isNotNull(), F.col("named") | (F.col("own.words") >= F.lit(SHARE) * n_words)).otherwise(False).alias("is_file"),
+        F.when(F.col("own").isNotNull(), F.col("named") | (F.col("own.words") >= F.lit(SHARE) * F.col("n_words"))).otherwise(False).alias("is_file"),
     )
     best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("license"), F.col("file_id")))
     granted = own.where("is_file and path is not null").groupBy(F.col("dir").alias("from_dir")).agg(best.alias("b")).select("from_dir", F.col("b.license").alias("dir_license"))
