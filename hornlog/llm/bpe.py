@@ -2,7 +2,8 @@
 
 The last token of a prefix's encoding is fixed by the prefix alone: it is the
 only token that ends the prefix and may follow the last token of what precedes
-it.  Two tokens may stand side by side if encoding their joined bytes gives the
+it.  Which tokens end a prefix, longest first, an automaton over the vocabulary
+tells in one step a byte.  Two tokens may stand side by side if encoding their joined bytes gives the
 same two tokens again, which the two merge trees tell without encoding.  So the
 distinct words of a batch are walked in order, depth first, with one state (the
 last token) for each byte of the current word: a prefix that many words share is
@@ -29,7 +30,8 @@ from .common import bounded, pick
 
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 300_000
+#: Entries kept at most in a worker's caches, which a task leaves empty.
+CACHED_WORDS, CACHED_PAIRS, CACHED_STEPS = 300_000, 400_000, 400_000
 ENCODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 _NEVER = 1 << 60
 
@@ -65,13 +67,57 @@ class BytePairModel:
             self.parts.setdefault(self.ids[self.bytes[left] + self.bytes[right]], (left, right))
         for text_of in self.added:  # an added token is never the outcome of a merge
             self.ids.pop(text_of.encode(), None)
-        self.longest = max(map(len, self.ids))
         self.lengths = {i: len(b) for i, b in self.bytes.items()}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.bytes}
+        self._build_automaton()
         self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._spines: tuple[dict, dict] = ({}, {})
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker holds the vocabulary only."""
+        self._fits.clear()
+        self._words.clear()
+        self._steps.clear()
+        for known in self._spines:
+            known.clear()
+
+    def _build_automaton(self) -> None:
+        """A trie of all tokens' bytes; each node has its longest proper suffix in the trie and the tokens that end it, longest first."""
+        children: list[dict[int, int]] = [{}]
+        token: list[int] = [-1]
+        for word, i in self.ids.items():
+            at = 0
+            for b in word:
+                nxt = children[at].get(b)
+                if nxt is None:
+                    nxt = children[at][b] = len(children)
+                    children.append({})
+                    token.append(-1)
+                at = nxt
+            token[at] = i
+        suffix, ending, queue = [0] * len(children), [()] * len(children), [0]
+        for at in queue:  # grows: by depth
+            for b, nxt in children[at].items():
+                up = suffix[at]
+                while up and b not in children[up]:
+                    up = suffix[up]
+                suffix[nxt] = children[up][b] if at and b in children[up] else 0
+                own = ((self.lengths[token[nxt]], token[nxt]),) if token[nxt] >= 0 else ()
+                ending[nxt] = own + ending[suffix[nxt]]
+                queue.append(nxt)
+        self._children, self._suffix, self._ending = children, suffix, ending
+        self._steps: dict[int, int] = {}
+
+    def _step(self, at: int, b: int) -> int:
+        """The automaton's node after one more byte; kept in ``_steps``."""
+        up = at
+        while up and b not in self._children[up]:
+            up = self._suffix[up]
+        got = self._steps[at << 8 | b] = self._children[up].get(b, 0)
+        return got
+
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """A token's pieces at its right (side 1) or left (0) edge, smallest first, and the rank at which each is merged away."""
         known = self._spines[side]
@@ -88,7 +134,7 @@ class BytePairModel:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their joined bytes are encoded."""
-        got = self._fits.get((left, right))
+        got = self._fits.get(left << 32 | right)
         if got is None:
             a, b, i, j, rank = self._spine(left, 1), self._spine(right, 0), 0, 0, self.rank
             while True:
@@ -104,34 +150,44 @@ class BytePairModel:
                     i += 1
                 else:
                     j += 1
-            self._fits[left, right] = got
+            self._fits[left << 32 | right] = got
         return got
 
     def encode_words(self, found: list[bytes]) -> Iterator[bytes]:
         """Token ids, as little-endian 32-bit integers, of sorted distinct words: a depth-first walk of their trie."""
-        ids, fits, known, lengths, longest = self.ids, self.fits, self._fits, self.lengths, self.longest
-        last: list[int] = [-1]  # the state at each depth
+        fits, known, lengths, packed, ending = self.fits, self._fits.get, self.lengths, self.packed, self._ending
+        step, move = self._steps.get, self._step
+        last, nodes = [-1], [0]  # the state at each depth: last token, automaton node
         before = b""
         for word in found:
             n, shared = min(len(word), len(before)), 0
             while shared < n and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None:
-                        prior = last[start]
-                        if prior < 0 or (known.get((prior, token)) if (prior, token) in known else fits(prior, token)):
-                            last.append(token)
-                            break
+            del last[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[shared]
+            for end in range(shared, len(word)):
+                b = word[end]
+                there = step(node << 8 | b)
+                node = move(node, b) if there is None else there
+                nodes.append(node)
+                for length, token in ending[node]:
+                    prior = last[-length]  # the state before the token: end + 1 - length, counted from the top
+                    if prior < 0:
+                        last.append(token)
+                        break
+                    apart = known(prior << 32 | token)
+                    if apart or (apart is None and fits(prior, token)):
+                        last.append(token)
+                        break
                 else:
                     raise ValueError("a byte is missing in the vocabulary")
             before, out, end = word, [], len(word)
             while end:
-                out.append(last[end])
-                end -= lengths[last[end]]
-            yield np.array(out[::-1], "<u4").tobytes()
+                token = last[end]
+                out.append(packed[token])
+                end -= lengths[token]
+            out.reverse()
+            yield b"".join(out)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Token ids of each text, as little-endian 32-bit integers."""
@@ -139,8 +195,10 @@ class BytePairModel:
         cache = self._words
         if len(cache) > CACHED_WORDS:
             cache.clear()
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) > CACHED_PAIRS:
             self._fits.clear()
+        if len(self._steps) > CACHED_STEPS:
+            self._steps.clear()
         fresh = {w for parts in pieces for p in parts if isinstance(p, list) for w in p if w not in cache}
         raw = {w.encode("utf-8", "surrogatepass"): w for w in fresh}
         order = sorted(raw)
@@ -193,6 +251,7 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
         for batch in bounded(batches, most=2 << 20):
             ids = model.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        model.forget()
 
     return pick(documents, "doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")
 
@@ -227,6 +286,7 @@ def digest(documents: DataFrame, path: str | None = None) -> DataFrame:
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        model.forget()
 
     return pick(documents, "doc_id", "text").mapInArrow(run, ENCODED)
 
@@ -246,5 +306,6 @@ def with_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
             columns = list(batch.columns)
             columns[place] = pa.array([model.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n), lists], schema.names)
+        model.forget()
 
     return documents.mapInArrow(run, schema)
