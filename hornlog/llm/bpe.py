@@ -84,38 +84,37 @@ class BytePairModel:
             known.clear()
 
     def _build_automaton(self) -> None:
-        """A trie of all tokens' bytes; each node has its longest proper suffix in the trie and the tokens that end it, longest first."""
-        children: list[dict[int, int]] = [{}]
-        token: list[int] = [-1]
+        """A trie of all tokens' bytes; each node has its longest proper suffix in the trie and the tokens that end it, longest first.
+        Edges are kept by node and byte in one table."""
+        edges: dict[int, int] = {}
+        token, depth_of = [-1], [0]
         for word, i in self.ids.items():
             at = 0
-            for b in word:
-                nxt = children[at].get(b)
+            for depth, b in enumerate(word, 1):
+                nxt = edges.get(at << 8 | b)
                 if nxt is None:
-                    nxt = children[at][b] = len(children)
-                    children.append({})
+                    nxt = edges[at << 8 | b] = len(token)
                     token.append(-1)
+                    depth_of.append(depth)
                 at = nxt
             token[at] = i
-        suffix, ending, queue = [0] * len(children), [()] * len(children), [0]
-        for at in queue:  # grows: by depth
-            for b, nxt in children[at].items():
-                up = suffix[at]
-                while up and b not in children[up]:
-                    up = suffix[up]
-                suffix[nxt] = children[up][b] if at and b in children[up] else 0
-                own = ((self.lengths[token[nxt]], token[nxt]),) if token[nxt] >= 0 else ()
-                ending[nxt] = own + ending[suffix[nxt]]
-                queue.append(nxt)
-        self._children, self._suffix, self._ending = children, suffix, ending
-        self._steps: dict[int, int] = {}
+        self._edges, self._suffix, self._steps = edges, [0] * len(token), {}
+        ending: list[tuple] = [()] * len(token)
+        for key, nxt in sorted(edges.items(), key=lambda e: depth_of[e[1]]):
+            at, b = key >> 8, key & 255
+            up = self._suffix[nxt] = self._move(self._suffix[at], b) if at else 0
+            ending[nxt] = ((self.lengths[token[nxt]], token[nxt]), *ending[up]) if token[nxt] >= 0 else ending[up]
+        self._ending = ending
+
+    def _move(self, at: int, b: int) -> int:
+        """The automaton's node after one more byte."""
+        edges, suffix = self._edges, self._suffix
+        while (got := edges.get(at << 8 | b)) is None and at:
+            at = suffix[at]
+        return got or 0
 
     def _step(self, at: int, b: int) -> int:
-        """The automaton's node after one more byte; kept in ``_steps``."""
-        up = at
-        while up and b not in self._children[up]:
-            up = self._suffix[up]
-        got = self._steps[at << 8 | b] = self._children[up].get(b, 0)
+        got = self._steps[at << 8 | b] = self._move(at, b)
         return got
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -248,7 +247,7 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(held.value)
-        for batch in bounded(batches, most=2 << 20):
+        for batch in bounded(batches, most=1 << 20):
             ids = model.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
         model.forget()
@@ -275,7 +274,7 @@ def digest(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(held.value)
-        for batch in bounded(batches, most=2 << 20):
+        for batch in bounded(batches, most=1 << 20):
             ids = model.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -299,13 +298,13 @@ def with_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(held.value)
-        for batch in bounded(batches, place, 2 << 20):
+        for batch in bounded(batches, place, 1 << 20):
             ids = model.encode_batch(batch.column(place).to_pylist())
             n = np.array([len(x) // 4 for x in ids], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             columns = list(batch.columns)
             columns[place] = pa.array([model.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n), lists], schema.names)
-        model.forget()
+        _models.clear()  # workers go on to other stages; reading the file again takes less than a second a task
 
     return documents.mapInArrow(run, schema)

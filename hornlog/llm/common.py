@@ -51,7 +51,7 @@ def discard(df: DataFrame) -> None:
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra ones never clash; Arrow batches of them are kept to a few MB."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
@@ -100,7 +100,7 @@ def _byte_set(chars: bytes) -> np.ndarray:
 
 SPACE = _byte_set(b" \t\n\v\f\r")
 NEWLINE = _byte_set(b"\n")
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_CODES = mix64(np.arange(1, 513, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(2, 256)
@@ -207,7 +207,7 @@ def _give_back() -> None:
         trim(0)
 
 
-def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text, so that memory does not follow the batch size."""
     for batch in batches:
         column = batch.column(text_column)
