@@ -75,18 +75,112 @@ def test_lm_base_scores_and_model(spark, documents):
     assert lm_scoring.score_texts(documents.limit(0)).count() == 0
 
 
+def brute_model(rows):
+    """Scores of rows (doc_id, text) by loops over dictionaries; only hashes and slots are the operator's."""
+    L = lm_scoring
+    seqs = []
+    for i, t in rows:
+        w = Segments([t], lower=True)
+        seqs.append((i, brute.words(t, True), w.hash, L.tail_units(w, np.arange(len(w.hash)))))
+    counts, tail_of, hash_of = collections.Counter(), {}, {}
+    for i, words, h, tails in seqs:
+        tail_of.update(zip(words, tails.tolist()))
+        hash_of.update(zip(words, h.view(np.int64).tolist()))
+        if L.group_of(i) != L.ROUNDS:
+            counts.update(words)
+    docs = sum(L.group_of(i) != L.ROUNDS for i, *_ in seqs)
+    own = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], hash_of[w]))[: L.OWN - 1], 1)}
+    unit = {w: own.get(w, t) for w, t in tail_of.items()}
+    n, v = [0] * L.UNITS, [0] * L.UNITS
+    n[0] = docs
+    for w, c in counts.items():
+        n[unit[w]] += c
+        v[unit[w]] += unit[w] >= L.OWN
+    bits = min(L.MOST_SLOT_BITS, max(L.LEAST_SLOT_BITS, math.ceil(math.log2(max(1, (len(counts) + 1) / L.WORDS_A_SLOT)))))
+    size = 1 << bits
+    weights = [collections.defaultdict(float), collections.defaultdict(float)]
+    for c in range(L.CLASSES):
+        mine = sum(n[u] + 1 for u in range(L.UNITS) if u % L.CLASSES == c)
+        weights[0][size, c] = math.log(mine / (sum(n) + L.UNITS))
+        for m in range(L.MEMBERS):
+            weights[1][size + c, m] = math.log((n[m * L.CLASSES + c] + 1) / mine)
+
+    def steps(words, h):
+        s = L.Sequences(np.arange(len(words)), np.array([len(words)]), h, np.array([unit[w] for w in words], np.uint8))
+        tables = s.slots(0, len(s.unit), bits)
+        return s.unit.tolist(), [[(int(what[k]), [int(x[k]) for x in slots]) for k in range(len(what))] for what, slots in tables]
+
+    def softmax(t, slots):
+        z = [sum(weights[t][x, k] for x in slots) for k in range(L.CLASSES)]
+        total = math.log(sum(map(math.exp, z)))
+        return [x - total for x in z]
+
+    for r in range(L.ROUNDS):
+        sums = [collections.defaultdict(lambda: [0.0, 0.0]) for _ in range(2)]
+        for i, words, h, _ in seqs:
+            if L.group_of(i) == r:
+                for t, events in enumerate(steps(words, h)[1]):
+                    for what, slots in events:
+                        z = softmax(t, slots)
+                        for x in slots:
+                            sums[t][x, what][0] += 1
+                            for k in range(L.CLASSES):
+                                sums[t][x, k][1] += math.exp(z[k])
+        for t in range(2):
+            for at, (o, e) in sums[t].items():
+                weights[t][at] += L.RATE / 3 * (o - e) / ((o + e) / 2 + L.DAMPING)
+    out = []
+    for i, words, h, _ in seqs:
+        units, tables = steps(words, h)
+        total = sum(softmax(t, slots)[what] for t in range(2) for what, slots in tables[t]) / math.log(10)
+        total += sum(math.log10((counts[w] + 1) / (n[u] + v[u] + 1)) for w, u in zip(words, units) if u >= L.OWN)
+        out.append((i, total))
+    return out
+
+
+def lm_rows(spark, rows, parts, **how):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    return sorted((r["doc_id"], r["score"]) for r in lm_scoring.score_texts(docs, **how).collect())
+
+
+def test_lm_score_against_brute_force_and_layouts(spark, small):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rows = [r for r in rows if len(r[1] or "") < 1500] + [(90_001, None), (90_002, ""), (90_003, "odd " * 300), (90_003, "odd " * 300)]
+    want = sorted(brute_model(rows))
+    one = lm_rows(spark, rows, 1)
+    assert [x[0] for x in one] == [x[0] for x in want]
+    assert max(abs(a[1] - b[1]) for a, b in zip(one, want)) < 0.02  # probabilities are summed in steps of 1 / ONE
+    eight = lm_rows(spark, rows, 8)
+    assert max(abs(a[1] - b[1]) for a, b in zip(one, eight)) < 1e-6
+
+
+def test_lm_blocks_do_not_change_scores(spark, small):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rows.append((90_001, "a very long text of words " * 60_000))  # 1.5 MB
+    assert max(abs(a[1] - b[1]) for a, b in zip(lm_rows(spark, rows, 2), lm_rows(spark, rows, 2, block_bytes=20_000))) < 1e-5
+
+
+def test_lm_held_out_gain(spark):
+    got = lm_scoring.score_texts(spark.read.parquet(f"{MIDDLE}/documents.parquet")).where("held_out").collect()
+    assert sum(r["score"] - r["base_score"] for r in got) / sum(r["n_tokens"] for r in got) > 0.05
+
+
 def test_lm_probabilities_sum_to_one():
-    """Class probabilities of any history, times each class's words and its unknown mass, are one."""
+    """Units of any history, times each unit's words and its unknown mass, are one."""
+    L = lm_scoring
     rng = np.random.default_rng(2)
-    weights = rng.normal(0, 1, (lm_scoring.SLOTS + 1, lm_scoring.CLASSES)).astype(np.float32)
-    s = lm_scoring.Sequences(np.array([0, 1, 0]), np.array([2, 0, 1]), np.array([5, 9], np.uint64), np.array([3, 4]))
-    assert s.starts.tolist() == [0, 3, 4, 6] and s.cls.tolist() == [3, 4, lm_scoring.END, lm_scoring.END, 3, lm_scoring.END]
-    assert s.slots[0][0] == s.slots[0][3] == s.slots[0][4] and s.slots[1][1] == s.slots[1][0]  # texts do not see each other
-    z = lm_scoring.class_logits(weights, s.slots)
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    assert np.allclose((p / p.sum(axis=1, keepdims=True)).sum(axis=1), 1)
-    counts = np.array([3, 1, 7])
-    assert math.isclose(sum((c + 1) / (counts.sum() + len(counts) + 1) for c in counts) + 1 / (counts.sum() + len(counts) + 1), 1)
+    tails = {u: (int(rng.integers(1, 50)), int(rng.integers(1, 9))) for u in range(L.OWN, L.UNITS)}
+    model = L.Model.start(1000, [(7, 5, L.OWN), (-3, 4, L.OWN + 1)], {u: (n + 9, v + 2) for u, (n, v) in tails.items()}, 3)
+    model.weights = tuple(rng.normal(0, 1, w.shape).astype(np.float32) for w in model.weights)
+    s = L.Sequences(np.array([0, 1, 0]), np.array([2, 0, 1]), np.array([5, 9], np.uint64), np.array([3, 200]))
+    assert s.starts.tolist() == [0, 3, 4, 6] and s.unit.tolist() == [3, 200, 0, 0, 3, 0]
+    assert s.features[0][0] == s.features[0][3] == s.features[0][4] and s.features[1][1] == s.features[1][0]  # texts do not see each other
+    total = np.zeros(len(s.unit))
+    for u in range(L.UNITS):
+        s.unit[:] = u
+        (cls, cs), (member, ms) = s.slots(0, len(s.unit), model.bits)
+        total += L.probabilities(model.weights[0], cs)[0][cls, np.arange(len(cls))] * L.probabilities(model.weights[1], ms)[0][member, np.arange(len(cls))]
+    assert np.allclose(total, 1, atol=1e-5)
 
 
 def test_quality_classifier(spark, documents, labels):
