@@ -35,13 +35,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of what led here may go: the driver drops them when it collects garbage
+    collect_garbage(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let shuffle files of ended jobs go now: the driver drops them only when it collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and that nothing reads any more."""
     context = df.sparkSession.sparkContext

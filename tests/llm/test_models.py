@@ -106,7 +106,7 @@ def brute_model(rows):
             weights[1][size + c, m] = math.log((n[m * L.CLASSES + c] + 1) / mine)
 
     def steps(words, h):
-        s = L.Sequences(np.arange(len(words)), np.array([len(words)]), h, np.array([unit[w] for w in words], np.uint8))
+        s = L.Sequences(np.arange(len(words)), np.array([len(words)]), h, np.array([unit[w] for w in words], np.int64))
         tables = s.slots(0, len(s.unit), bits)
         return s.unit.tolist(), [[(int(what[k]), [int(x[k]) for x in slots]) for k in range(len(what))] for what, slots in tables]
 
