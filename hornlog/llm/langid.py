@@ -4,29 +4,32 @@ Texts are cut into segments of ``SEGMENT`` bytes; all bytes of all texts are rea
 One recurrent network runs over a segment forwards and one backwards; from both
 states every byte gets its own language probabilities.  A document's probabilities
 are the mean over its bytes.  The networks are trained in numpy by
-backpropagation through time, from evenly spaced segments of a bounded sample:
-about ``PER_LANG`` documents of each language (by hashed id), outside the held-out
-fold.
+backpropagation through time.  A labelled row to learn from is one segment of a
+text outside the held-out fold, with the text's language; any segment of any text
+may be taken.  Of each language's distinct segments, those whose hashes come first
+are learned from, ``PER_LANG`` at most.  All languages are learned.
 
 Defined cases: a text that is null, empty or without letters is ``und`` with
-score 0; repeated rows are each judged; with no labelled row to learn from, every
-text is ``und``; with one language only, every text with letters is of it; an
-empty table gives an empty result; extra columns are ignored.
+score 0; repeated rows are each judged, and learned from once; with no labelled row
+to learn from, every text is ``und``; with one language only, every text with
+letters is of it; of languages equally likely the first by name is taken; texts may
+be of any length; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, crc_fold, fold, pick
+from .common import bounded, crc_fold, fold, mix64, pick
 
 SEGMENT, HIDDEN = 96, 8
-PER_LANG, SEGMENTS_EACH, MOST_LANGS = 400, 4, 200
+PER_LANG = 1_600
 FOLDS, HELD_OUT = 5, 0
 JUDGED = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
@@ -143,14 +146,15 @@ class ByteTagger:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         lengths = np.minimum(n[owner] - nth * SEGMENT, SEGMENT)
         total = np.zeros((len(texts), len(self.langs)))
-        for a in range(0, len(lanes), 4096):
-            steps = np.ascontiguousarray(lanes[a : a + 4096].T)
+        most = max(16, min(4096, 16384 // len(self.langs)))  # the larger the output layer, the fewer lanes at once
+        for a in range(0, len(lanes), most):
+            steps = np.ascontiguousarray(lanes[a : a + most].T)
             p = self.logits(steps)
             p -= p.max(axis=2, keepdims=True)
             np.exp(p, out=p)
             p /= p.sum(axis=2, keepdims=True)
-            p *= (np.arange(SEGMENT)[:, None] < lengths[None, a : a + 4096])[:, :, None]
-            np.add.at(total, owner[a : a + 4096], p.sum(axis=0, dtype=np.float64))
+            p *= (np.arange(SEGMENT)[:, None] < lengths[None, a : a + most])[:, :, None]
+            np.add.at(total, owner[a : a + most], p.sum(axis=0, dtype=np.float64))
         return total / np.maximum(n, 1)[:, None]
 
 
@@ -160,30 +164,31 @@ def has_letter(text: str | None) -> bool:
 
 def fit(documents: DataFrame, per_lang: int = PER_LANG) -> ByteTagger | None:
     learn = pick(documents, "doc_id", "text", "lang").where("lang is not null and text is not null").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    langs = sorted(r["lang"] for r in counts)
+    sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / SEGMENT)).alias("n")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return None
     if len(langs) == 1:
         return ByteTagger(langs)
-    # a row is in the sample if its hash, as a share of the range, is below per_lang / rows of its language
-    below = {r["lang"]: min(1.0, per_lang / r["count"]) for r in counts}
-    share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    limit = F.element_at(F.create_map(*[F.lit(x) for item in below.items() for x in item]), F.col("lang"))
+    # segments whose hash is below this share of the range: more than per_lang are expected, so that the rest is cut exactly below
+    share = {x: min(1.0, (1.5 * per_lang + 100) / max(1, n)) for x, n in sizes.items()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            pieces, owner = [], []
+            pieces, owner, order = [], [], []
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
                 if has_letter(text):
-                    k = min(SEGMENTS_EACH, max(1, len(raw) // SEGMENT))
-                    for a in np.linspace(0, max(0, len(raw) - SEGMENT), k).astype(int).tolist():
-                        pieces.append(raw[a : a + SEGMENT].ljust(SEGMENT))
+                    raw = text.encode("utf-8", "surrogatepass")
+                    h = mix64(np.arange(-(-len(raw) // SEGMENT), dtype=np.uint64) + np.uint64(zlib.crc32(raw) << 20)) >> np.uint64(1)
+                    for k in np.flatnonzero(h < np.uint64(int(share[lang] * (2**63 - 1)))).tolist():
+                        pieces.append(raw[k * SEGMENT : (k + 1) * SEGMENT].ljust(SEGMENT))
                         owner.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.string()), pa.array(pieces, pa.binary())], ["lang", "piece"])
+                        order.append(int(h[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.string()), pa.array(pieces, pa.binary()), pa.array(order, pa.int64())], ["lang", "piece", "h"])
 
-    rows = learn.where(share < limit).mapInArrow(cut, "lang string, piece binary").limit(4 * per_lang * SEGMENTS_EACH * len(langs)).collect()
+    found = learn.mapInArrow(cut, "lang string, piece binary, h bigint").groupBy("lang", "piece").agg(F.min("h").alias("h"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
+    rows = found.withColumn("nth", first).where(F.col("nth") <= per_lang).select("lang", "piece").collect()  # per_lang rows a language at most
     rows = sorted((r["lang"], bytes(r["piece"])) for r in rows)
     model = ByteTagger(langs)
     place = {x: k for k, x in enumerate(langs)}
