@@ -4,16 +4,20 @@ Two multinomials over hashed word unigrams and bigrams are counted: one over
 the trusted target (labelled good documents), one over the whole raw corpus.
 A document's score is the mean log ratio of its n-grams, so long and short
 documents compare; it is kept if the score reaches a threshold that the target
-itself sets, a margin below ``quantile`` of the scores of labelled good documents whose words
+itself sets, a margin below ``QUANTILE`` of the scores of labelled good documents whose words
 were left out of the target's counts (one id in five, by crc32).  The raw counts
-cover every document.  The target is the ``target_rows`` labelled good documents
-whose hashed ids come first, a documented bound.
+cover every document, the target's and the threshold's every labelled good one.
+
+``QUANTILE`` and ``MARGIN`` favour keeping: a good document of a kind that the labels
+lack scores below those that they hold, so the threshold lies below all but two in a
+thousand of them, by half as much again as those lie below the median.
 
 Defined cases: a null or empty text has no words, all counts 0, score 0 and
 fails the base rules; repeated rows are each judged and counted; a document
 whose label rows disagree is in the target if any of them is good; without
 any target document every ratio is 0 and the threshold 0, so the base rules
-alone decide; extra columns are ignored.
+alone decide; a score equal to the threshold passes; texts may be of any length;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEWLINE, SPACE, Segments, bounded, crc_fold, inside, mix64, pick, sequence_hash
+from .common import NEWLINE, SPACE, Segments, bounded, fold, inside, materialize, mix64, pick, sequence_hash
 
 BUCKETS = 1 << 15
-TARGET_ROWS = 20_000
+#: Target ids that are broadcast at most (9 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 QUANTILE = 0.002
 #: The threshold lies below that quantile by this share of its distance from the median.
 MARGIN = 0.5
+#: The quantiles are read from counts of scores in steps of this, within +- REACH.
+STEP, REACH = 1e-3, 20.0
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 RULES = (
@@ -90,39 +97,45 @@ def _score(w: Segments, table: np.ndarray) -> np.ndarray:
     return w.per_text(gain) / np.maximum(2 * w.n - 1, 1)
 
 
-def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, quantile: float = QUANTILE):
-    """(log-ratio table, threshold): counts over all documents, threshold from a bounded sample of the target."""
-    spark = documents.sparkSession
-    chosen = (
-        pick(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
-    )
-    ids = [r["doc_id"] for r in chosen.collect()]
-    aside = [i for i in ids if crc_fold(i, 5) == 0]
-    target = spark.sparkContext.broadcast(frozenset(ids) - frozenset(aside))
+def _quantiles(scores: DataFrame, shares: list[float]) -> list[float] | None:
+    """Quantiles of llr, to a STEP, from counts of a bounded number of bins."""
+    bins = scores.select(F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col("llr"))) / STEP).alias("bin")).groupBy("bin").count().collect()
+    if not bins:
+        return None
+    at = np.array(sorted((r["bin"], r["count"]) for r in bins))
+    total = np.cumsum(at[:, 1])
+    return [float(at[min(len(at) - 1, int(np.searchsorted(total, x * total[-1], "right"))), 0] * STEP) for x in shares]
+
+
+def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS):
+    """(log-ratio table, threshold): counts over all documents, threshold from all labelled good ones set aside."""
+    good_ids = pick(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good_ids = materialize(good_ids.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("aside")), "target-ids")
+    bound = F.broadcast if good_ids.count() <= broadcast_rows else (lambda df: df)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, sums = target.value, np.zeros((2, buckets), np.int64)
-        for ids, _, w in _batches(batches):
+        sums = np.zeros((2, buckets), np.int64)
+        for batch in bounded(batches):
+            w = Segments(batch.column(1).to_pylist())
             uni, bi, within = ngram_buckets(w, buckets)
-            good = np.repeat(np.array([i in wanted for i in ids.to_pylist()], bool), w.n)
+            good = np.repeat(np.array([x is False for x in batch.column(2).to_pylist()], bool), w.n)
             sums[0] += np.bincount(uni, minlength=buckets) + np.bincount(bi[within], minlength=buckets)
             both = within & good[1:]
             sums[1] += np.bincount(uni[good], minlength=buckets) + np.bincount(bi[both], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], ["bucket", "raw", "good"])
 
     docs = pick(documents, "doc_id", "text")
-    rows = docs.mapInArrow(count, "bucket int, raw bigint, good bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
+    flagged = docs.join(bound(good_ids), "doc_id", "left").select("doc_id", "text", "aside")
+    rows = flagged.mapInArrow(count, "bucket int, raw bigint, good bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
     raw, good = np.zeros(buckets), np.zeros(buckets)
     for r in rows:
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
     if not good.sum():
         return np.zeros(buckets), 0.0
     table = np.log((good + 1) / (good.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
-    few = spark.createDataFrame([(i,) for i in aside], "doc_id bigint")
-    sample = docs.join(F.broadcast(few), "doc_id", "left_semi")
-    at = score(sample, table, -np.inf).where("n_words >= 50").agg(F.percentile("llr", F.array(F.lit(quantile), F.lit(0.5))).alias("t")).first()["t"]
-    return table, 0.0 if at is None else float(at[0] - MARGIN * (at[1] - at[0]))
+    sample = docs.join(bound(good_ids.where("aside")), "doc_id", "left_semi")
+    at = _quantiles(score(sample, table, -np.inf).where("n_words >= 50"), [quantile, 0.5])
+    return table, 0.0 if at is None else at[0] - MARGIN * (at[1] - at[0])
 
 
 def score(documents: DataFrame, table: np.ndarray, threshold: float) -> DataFrame:
