@@ -3,10 +3,18 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs.  All but the last return the
 columns of ``documents``.
+
+Defined cases, in every stage: null and empty texts are documents without words
+(the classifier's score decides whether they stay; they are copies of nothing,
+hold nothing of the benchmark and have no tokens, and a null text stays null);
+null ids stay unless the quality or contamination of the text drops the row; an
+empty table gives an empty one; columns beyond those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,25 +30,34 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in COLUMNS])
 
 
-def _without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    ids = materialize(ids.distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_anti")
+def _without(docs: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys, null ones included, are not in ``dropped``."""
+    dropped = materialize(dropped.select(*[F.col(k).alias(f"gone_{k}") for k in keys]).distinct(), "dropped")
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys])
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, same, "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; equal rows are judged alike."""
     docs = _columns(docs)
     return quality_clf.accepted(docs, *quality_clf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id, and one row of it) of each group of near copies: five words, similarity 0.8."""
+    """One document (the smallest id) of each group of near copies: five words, similarity 0.8.
+
+    Rows that share an id with others are told apart by a negative key of id and text; equal rows of them stay once.
+    A null id is never dropped."""
     docs = _columns(docs)
-    found = materialize(neardup.near_duplicates(docs, 5, 80), "near")
-    several = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several"))
     several = materialize(several, "several")
-    once = _without(docs, found.where("not kept").select("doc_id").union(several), "doc_id")
-    return once.select(*COLUMNS).union(docs.join(several, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    bound = F.broadcast if several.count() <= BROADCAST_ROWS else (lambda df: df)
+    own = F.when(F.col("several"), -1 - F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).otherwise(F.col("doc_id"))
+    keyed = docs.join(bound(several), "doc_id", "left").withColumn("row_key", own)
+    found = materialize(neardup.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), 5, 80), "near")
+    kept = _without(keyed, found.where("not kept").select(F.col("doc_id").alias("row_key")), "row_key")
+    equal = kept.where("several").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.where("several is null").select(*COLUMNS).union(equal.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,16 +71,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark text; rows are told apart by a hash of id and text."""
-    docs = _columns(docs)
-    key = F.xxhash64("doc_id", "text")
-    judged = decontam.decontaminate(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("row_key"))
-    return _without(docs.withColumn("row_key", key), bad, "row_key").select(*COLUMNS)
+    """Documents that hold no window of a benchmark text; rows of one id, or of none, are told apart by a hash of the text."""
+    keyed = _columns(docs).withColumn("text_key", F.xxhash64("text"))
+    judged = decontam.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), tag="text_key")
+    return _without(keyed, judged.where("contaminated").select("doc_id", F.col("tag").alias("text_key")), "doc_id", "text_key").select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with n_tokens and token_ids."""
+    """The columns of documents with n_tokens and token_ids; equal rows each have theirs."""
     return bpe.with_tokens(_columns(docs))
 
 
