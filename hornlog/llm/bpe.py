@@ -291,7 +291,7 @@ def digest(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def with_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns and n_tokens and token_ids; the text is what decoding the ids gives."""
+    """All columns and n_tokens and token_ids; the text is what decoding the ids gives, null where it was null."""
     held = _held(documents, path)
     place = documents.columns.index("text")
     schema = T.StructType([*documents.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
@@ -303,7 +303,7 @@ def with_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
             n = np.array([len(x) // 4 for x in ids], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
             columns = list(batch.columns)
-            columns[place] = pa.array([model.decode(x) for x in ids], pa.string())
+            columns[place] = pa.array([model.decode(x) if known else None for x, known in zip(ids, batch.column(place).is_valid().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n), lists], schema.names)
         _models.clear()  # workers go on to other stages; reading the file again takes less than a second a task
 
