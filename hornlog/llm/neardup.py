@@ -39,6 +39,8 @@ from .common import Segments, bounded, inside, materialize, mix64, pick, sequenc
 BUCKETS, ROWS = 128, 4
 SMALL = 128
 EMPTY = 0xFFFF
+#: Pairs are dropped if their estimate is so many standard deviations below the threshold; at it, fewer than one in 10**8 is.
+CUT = 6.5
 _REST, _MANTISSA = 52, 10
 #: Hash classes of the global order of shingles.
 CLASSES = 1 << 16
@@ -202,7 +204,7 @@ class Matcher:
                     na, nb = (np.array(cols[c].to_pylist(), np.float64)[at] for c in ("na", "nb"))
                     j, used = estimate(x, y, na, nb)
                     t = percent / 100
-                    keep[at] = j >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+                    keep[at] = j >= t - CUT * np.sqrt(t * (1 - t) / np.maximum(used, 1))
                 yield pa.RecordBatch.from_arrays([cols["a"].filter(pa.array(keep)), cols["b"].filter(pa.array(keep))], ["a", "b"])
 
         joined = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -339,7 +341,7 @@ def block_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
             if len(at):
                 j, used = estimate(np.broadcast_to(r[x], (len(at), BUCKETS)), r[ms[at]], np.full(len(at), float(n[x])), n[ms[at]].astype(float))
                 t = percent / 100
-                hit[k, at] = ~(sketched[x] & sketched[ms[at]]) | (j >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
+                hit[k, at] = ~(sketched[x] & sketched[ms[at]]) | (j >= t - CUT * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
     i, j = np.nonzero(hit)
     a, b = ids[xs[i]], ids[ms[j]]
     return np.minimum(a, b), np.maximum(a, b)
