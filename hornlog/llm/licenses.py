@@ -14,7 +14,8 @@ best match, then the smallest name, then the smallest file id).
 
 Defined cases: a null path is in no directory; null and empty texts have no
 headers; repeated rows each get a row; the similarity is rounded to 6 places;
-extra columns are ignored.
+texts may be of any length; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -205,6 +206,7 @@ def scan(files: DataFrame) -> DataFrame:
         dirs.select("dir", above).select("dir", F.col("up.depth").alias("depth"), F.col("up.from_dir").alias("from_dir"))
         .join(granted, "from_dir").groupBy("dir").agg(F.max_by(F.struct("dir_license", "from_dir"), "depth").alias("g"))
     )
+    nearest = materialize(nearest, "license-nearest")  # so that the join reads plain shuffles, of which Spark can split a large directory
     takes = F.col("license").isNull() & F.col("path").isNotNull() & F.col("g").isNotNull()
     return own.join(nearest, "dir", "left").select(
         "file_id", "path",
