@@ -247,7 +247,7 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(held.value)
-        for batch in bounded(batches, most=1 << 20):
+        for batch in bounded(batches, most=1 << 19):
             ids = model.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
         model.forget()
@@ -274,7 +274,7 @@ def digest(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(held.value)
-        for batch in bounded(batches, most=1 << 20):
+        for batch in bounded(batches, most=1 << 19):
             ids = model.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -298,7 +298,7 @@ def with_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(held.value)
-        for batch in bounded(batches, place, 1 << 20):
+        for batch in bounded(batches, place, 1 << 19):
             ids = model.encode_batch(batch.column(place).to_pylist())
             n = np.array([len(x) // 4 for x in ids], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))

@@ -56,7 +56,7 @@ def discard(df: DataFrame) -> None:
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra ones never clash; Arrow batches of them are kept to a few MB."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
@@ -212,7 +212,7 @@ def _give_back() -> None:
         trim(0)
 
 
-def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text, so that memory does not follow the batch size."""
     for batch in batches:
         column = batch.column(text_column)

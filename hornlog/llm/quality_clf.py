@@ -32,6 +32,7 @@ FEATURES = 2 * DIM + 2
 TRAIN_ROWS = 8_000
 FOLDS, HELD_OUT = 4, 2
 LIMIT = 0.7
+_PIECE = 1 << 17
 SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
 _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 
@@ -39,7 +40,22 @@ _SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48
 def slots(texts: list[str | None]) -> tuple[Segments, np.ndarray, np.ndarray]:
     """The texts' words, and for each its word slot and its shape slot."""
     w = Segments(texts)
-    shaped = np.frombuffer(w.bytes.translate(_SHAPE), np.uint8)
+    sums = np.empty(len(w.first), np.uint64)
+    a = 0
+    while a < len(w.first):  # some words at a time, since each byte takes several numbers
+        b = max(a + 1, int(np.searchsorted(w.end, w.first[a] + _PIECE, "right")))
+        sums[a:b] = _shapes(w.bytes[w.first[a] : w.end[b - 1]], w.first[a:b] - w.first[a], w.end[a:b] - w.first[a])
+        a = b
+    again = np.zeros(len(w.hash), np.uint64)
+    again[1:] = w.hash[1:] == w.hash[:-1]
+    with np.errstate(over="ignore"):
+        shape = (mix64(sums + again) % np.uint64(SHAPE_SLOTS)).astype(np.int64) + WORD_SLOTS
+    return w, (w.hash % np.uint64(WORD_SLOTS)).astype(np.int64), shape
+
+
+def _shapes(raw: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word's runs."""
+    shaped = np.frombuffer(raw.translate(_SHAPE), np.uint8)
     edge = np.ones(len(shaped), bool)
     edge[1:] = shaped[1:] != shaped[:-1]  # one byte for each run
     with np.errstate(over="ignore"):
@@ -47,12 +63,7 @@ def slots(texts: list[str | None]) -> tuple[Segments, np.ndarray, np.ndarray]:
         nth = np.cumsum(edge)  # runs so far, to weigh a run by its place in the word
         total = np.concatenate([[np.uint64(0)], np.cumsum(code * (nth.astype(np.uint64) * np.uint64(2) + np.uint64(1)))])
         plain = np.concatenate([[np.uint64(0)], np.cumsum(code)])
-        sums = total[w.end] - total[w.first]
-        sums -= (plain[w.end] - plain[w.first]) * (nth[w.first].astype(np.uint64) * np.uint64(2)) if len(w.first) else np.uint64(0)
-        again = np.zeros(len(w.hash), np.uint64)
-        again[1:] = w.hash[1:] == w.hash[:-1]
-        shape = (mix64(sums + again) % np.uint64(SHAPE_SLOTS)).astype(np.int64) + WORD_SLOTS
-    return w, (w.hash % np.uint64(WORD_SLOTS)).astype(np.int64), shape
+        return total[end] - total[first] - (plain[end] - plain[first]) * (nth[first].astype(np.uint64) * np.uint64(2))
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
