@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded, pick
+from .common import bounded, pick, tidy
 
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -252,7 +252,7 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
         model.forget()
 
-    return pick(documents, "doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")
+    return pick(documents, "doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -265,7 +265,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return pick(encoded, "doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return pick(encoded, "doc_id", "ids").mapInArrow(tidy(run), "doc_id bigint, text string")
 
 
 def digest(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -287,7 +287,7 @@ def digest(documents: DataFrame, path: str | None = None) -> DataFrame:
             )
         model.forget()
 
-    return pick(documents, "doc_id", "text").mapInArrow(run, ENCODED)
+    return pick(documents, "doc_id", "text").mapInArrow(tidy(run), ENCODED)
 
 
 def with_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -307,4 +307,4 @@ def with_tokens(documents: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n), lists], schema.names)
         _models.clear()  # workers go on to other stages; reading the file again takes less than a second a task
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tidy(run), schema)

@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +212,16 @@ def _give_back() -> None:
         trim(0)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after whose last batch a worker gives its memory back before it goes on to another task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return wrapped
+
+
 def bounded(batches: Iterator[pa.RecordBatch], text_column: int = 1, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text, so that memory does not follow the batch size."""
     for batch in batches:

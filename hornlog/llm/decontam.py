@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import Segments, bounded, materialize, pick
+from .common import Segments, bounded, materialize, pick, tidy
 
 #: Bytes that are in no term: all but ASCII letters, digits and what is beyond ASCII.
 APART = np.array([not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80) for b in range(256)])
@@ -66,7 +66,7 @@ def term_slots(items: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found))], ["slot"])
 
     out = np.zeros(1 << SLOT_BITS, bool)
-    out[items.mapInArrow(run, "slot bigint").distinct().toArrow()["slot"].to_numpy()] = True  # 2**20 rows at most
+    out[items.mapInArrow(tidy(run), "slot bigint").distinct().toArrow()["slot"].to_numpy()] = True  # 2**20 rows at most
     return out
 
 
@@ -104,7 +104,7 @@ def build_index(documents: DataFrame, slots: np.ndarray, gap: int, tag: str | No
         if ids:
             yield row()
 
-    return materialize(pick(documents, "doc_id", "text", *([tag] if tag else [])).mapInArrow(shards, INDEX), "postings")
+    return materialize(pick(documents, "doc_id", "text", *([tag] if tag else [])).mapInArrow(tidy(shards), INDEX), "postings")
 
 
 def corpus_counts(index: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def corpus_counts(index: DataFrame) -> DataFrame:
             for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(c, np.int32).astype(np.int64))], ["term", "n"])
 
-    return index.select("terms", "counts").mapInArrow(unpack, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return index.select("terms", "counts").mapInArrow(tidy(unpack), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Windows:
@@ -275,7 +275,7 @@ class Search:
                     for row in batch.to_pylist():
                         yield pa.RecordBatch.from_arrays(judge(Shard(row["n_words"], row["terms"], row["counts"], row["positions"], gap), row, held.value), schema=arrow)
 
-            parts.append(materialize(self.index.mapInArrow(run, schema), "block-hits"))
+            parts.append(materialize(self.index.mapInArrow(tidy(run), schema), "block-hits"))
             held.unpersist()
         return functools.reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], schema)
 

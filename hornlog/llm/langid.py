@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, crc_fold, fold, mix64, pick
+from .common import bounded, crc_fold, fold, mix64, pick, tidy
 
 SEGMENT, HIDDEN = 96, 8
 PER_LANG = 1_600
@@ -186,7 +186,7 @@ def fit(documents: DataFrame, per_lang: int = PER_LANG) -> ByteTagger | None:
                         order.append(int(h[k]))
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.string()), pa.array(pieces, pa.binary()), pa.array(order, pa.int64())], ["lang", "piece", "h"])
 
-    found = learn.mapInArrow(cut, "lang string, piece binary, h bigint").groupBy("lang", "piece").agg(F.min("h").alias("h"))
+    found = learn.mapInArrow(tidy(cut), "lang string, piece binary, h bigint").groupBy("lang", "piece").agg(F.min("h").alias("h"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
     rows = found.withColumn("nth", first).where(F.col("nth") <= per_lang).select("lang", "piece").collect()  # per_lang rows a language at most
     rows = sorted((r["lang"], bytes(r["piece"])) for r in rows)
@@ -212,4 +212,4 @@ def identify(documents: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
             out = [crc_fold(i, FOLDS) == HELD_OUT for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_()), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return pick(documents, "doc_id", "text").mapInArrow(run, JUDGED)
+    return pick(documents, "doc_id", "text").mapInArrow(tidy(run), JUDGED)

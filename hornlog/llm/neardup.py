@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Segments, bounded, inside, materialize, mix64, pick, sequence_hash
+from .common import Segments, bounded, inside, materialize, mix64, pick, sequence_hash, tidy
 
 BUCKETS, ROWS = 128, 4
 SMALL = 128
@@ -131,7 +131,7 @@ def sketch(documents: DataFrame, size: int, percent: int) -> DataFrame:
                 ["doc_id", "n", "k1", "k2", "registers", "small"],
             )
 
-    return materialize(documents.mapInArrow(run, SKETCH), "sketches")
+    return materialize(documents.mapInArrow(tidy(run), SKETCH), "sketches")
 
 
 def _class_counts(reps: DataFrame) -> np.ndarray:
@@ -145,7 +145,7 @@ def _class_counts(reps: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "c"])
 
-    rows = reps.where("small is not null").select("small").mapInArrow(run, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).collect()
+    rows = reps.where("small is not null").select("small").mapInArrow(tidy(run), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).collect()
     out = np.zeros(CLASSES, np.int64)
     for r in rows:
         out[r["k"]] = r["c"]
@@ -177,7 +177,7 @@ def candidate_keys(reps: DataFrame, percent: int) -> DataFrame:
             at = np.concatenate(who)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[at]), pa.array(n[at]), pa.array(np.arange(len(at)) < n_band)], ["key", "doc_id", "n", "band"])
 
-    return reps.select("doc_id", "n", "registers", "small").mapInArrow(run, "key bigint, doc_id bigint, n bigint, band boolean")
+    return reps.select("doc_id", "n", "registers", "small").mapInArrow(tidy(run), "key bigint, doc_id bigint, n bigint, band boolean")
 
 
 class Matcher:
@@ -208,7 +208,7 @@ class Matcher:
                 yield pa.RecordBatch.from_arrays([cols["a"].filter(pa.array(keep)), cols["b"].filter(pa.array(keep))], ["a", "b"])
 
         joined = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a bigint, b bigint").distinct()
+        return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
     def links(self, pairs: DataFrame, tag: str) -> DataFrame:
         """Pairs whose full sets reach the threshold."""
@@ -222,7 +222,7 @@ class Matcher:
                 found = shingle_sets(batch.column(1).to_pylist(), size)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "s"])
 
-        whole = materialize(self.documents.join(bound(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, s binary"), f"{tag}-sets")
+        whole = materialize(self.documents.join(bound(ids), "doc_id", "left_semi").mapInArrow(tidy(sets), "doc_id bigint, s binary"), f"{tag}-sets")
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -237,7 +237,7 @@ class Matcher:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
         joined = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        return materialize(joined.select("a", "b", "sa", "sb").mapInArrow(confirm, "a bigint, b bigint").distinct(), f"{tag}-links")
+        return materialize(joined.select("a", "b", "sa", "sb").mapInArrow(tidy(confirm), "a bigint, b bigint").distinct(), f"{tag}-links")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Segments, bounded, crc_fold, fold, mix64, pick
+from .common import Segments, bounded, crc_fold, fold, mix64, pick, tidy
 
 WORD_SLOTS, SHAPE_SLOTS, DIM = 1 << 13, 1 << 9, 24
 SLOTS = WORD_SLOTS + SHAPE_SLOTS
@@ -92,7 +92,7 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[at, k].astype(np.int64)) for k in range(DIM)]], ["slot", *[f"v{k}" for k in range(DIM)]])
 
     schema = "slot bigint, " + ", ".join(f"v{k} bigint" for k in range(DIM))
-    sums = pick(documents, "text").mapInArrow(run, schema).groupBy("slot").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)])
+    sums = pick(documents, "text").mapInArrow(tidy(run), schema).groupBy("slot").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(DIM)])
     out = np.zeros((SLOTS, DIM))
     for r in sums.collect():
         out[r["slot"]] = r[1:]
@@ -170,7 +170,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
             x = pooled(batch.column(1).to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    sample = pick(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id bigint, quality int, x binary")
+    sample = pick(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(tidy(run), "doc_id bigint, quality int, x binary")
     rows = sorted((r["doc_id"], r["quality"], bytes(r["x"])) for r in sample.collect())
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, FEATURES).astype(np.float64)
     return vectors, Network(x, np.array([r[1] for r in rows], np.float64))
@@ -186,7 +186,7 @@ def score(documents: DataFrame, vectors: np.ndarray, network: Network) -> DataFr
             out = [crc_fold(i, FOLDS) == HELD_OUT for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_()), pa.array(p), pa.array((p >= LIMIT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return pick(documents, "doc_id", "text").mapInArrow(run, SCORED)
+    return pick(documents, "doc_id", "text").mapInArrow(tidy(run), SCORED)
 
 
 def classify(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -204,4 +204,4 @@ def accepted(documents: DataFrame, vectors: np.ndarray, network: Network) -> Dat
             p = network.score(pooled(batch.column(place).to_pylist(), vectors).astype(np.float64))
             yield batch.filter(pa.array(p >= LIMIT))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)

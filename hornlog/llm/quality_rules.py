@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NEWLINE, SPACE, Segments, bounded, fold, inside, materialize, mix64, pick, sequence_hash
+from .common import NEWLINE, SPACE, Segments, bounded, fold, inside, materialize, mix64, pick, sequence_hash, tidy
 
 BUCKETS = 1 << 15
 #: Target ids that are broadcast at most (9 bytes each); more are joined by a shuffle.
@@ -126,7 +126,7 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, quantil
 
     docs = pick(documents, "doc_id", "text")
     flagged = docs.join(bound(good_ids), "doc_id", "left").select("doc_id", "text", "aside")
-    rows = flagged.mapInArrow(count, "bucket int, raw bigint, good bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
+    rows = flagged.mapInArrow(tidy(count), "bucket int, raw bigint, good bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
     raw, good = np.zeros(buckets), np.zeros(buckets)
     for r in rows:
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
@@ -151,7 +151,7 @@ def score(documents: DataFrame, table: np.ndarray, threshold: float) -> DataFram
                 RULES.replace(" bigint", "").replace(" boolean", "").replace(" double", "").split(", "),
             )
 
-    return pick(documents, "doc_id", "text").mapInArrow(judge, RULES)
+    return pick(documents, "doc_id", "text").mapInArrow(tidy(judge), RULES)
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Segments, bounded, discard, inside, materialize, mix64, pick, sequence_hash
+from .common import Segments, bounded, discard, inside, materialize, mix64, pick, sequence_hash, tidy
 
 #: Perfect difference covers by period: every difference modulo the period occurs.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
@@ -86,7 +86,7 @@ def whole_copies(docs: DataFrame) -> DataFrame:
                     keys.append(pa.array((total[w.starts[1:]] - total[w.starts[:-1]]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *keys, pa.array(w.n)], ["doc_id", "k1", "k2", "n"])
 
-    keyed = docs.where("doc_id is not null").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint, n bigint").where("n > 0")
+    keyed = docs.where("doc_id is not null").mapInArrow(tidy(run), "doc_id bigint, k1 bigint, k2 bigint, n bigint").where("n > 0")
     keyed = materialize(keyed, "sequences")
     first = keyed.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     first = materialize(first, "repeated-sequences")  # so that the join reads plain shuffles, of which Spark can split a large group
@@ -117,7 +117,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
             ids = np.array(batch.column(0).to_pylist(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(ids[text[once]])], ["h", "doc_id"])
 
-    rows = docs.where("doc_id is not null").join(bound(copies), "doc_id", "left_anti").mapInArrow(anchor_rows, "h bigint, doc_id bigint")
+    rows = docs.where("doc_id is not null").join(bound(copies), "doc_id", "left_anti").mapInArrow(tidy(anchor_rows), "h bigint, doc_id bigint")
     rows = materialize(rows, "anchors")
     shared = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     shared = materialize(shared, "shared")
@@ -159,7 +159,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
 
     flagged = with_carried.join(bound(copies.withColumn("copy", F.lit(True))), "doc_id", "left").join(marked, "doc_id", "left")
     flagged = flagged.select("doc_id", "text", "shared", F.coalesce("copy", F.lit(False)).alias("copy"), "carried")
-    judged = materialize(flagged.mapInArrow(windows, f"{_PASS}, n_removed bigint, carried {carried_type}"), "windows")
+    judged = materialize(flagged.mapInArrow(tidy(windows), f"{_PASS}, n_removed bigint, carried {carried_type}"), "windows")
 
     each = judged.where("candidate").select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_id", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
     least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
@@ -186,7 +186,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
 
     done = judged.where("not candidate").select("doc_id", "n_words", "n_removed", F.col("text").alias("kept"), "carried")
     rest = judged.where("candidate").select("doc_id", "text", "carried").join(hits, "doc_id", "left").select("doc_id", "text", "hits", "carried")
-    rest = rest.mapInArrow(finish, f"doc_id bigint, n_words bigint, n_removed bigint, kept string, carried {carried_type}")
+    rest = rest.mapInArrow(tidy(finish), f"doc_id bigint, n_words bigint, n_removed bigint, kept string, carried {carried_type}")
     both = done.unionByName(rest)
     return both if carry else both.drop("carried")
 
