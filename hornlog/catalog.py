@@ -83,8 +83,8 @@ PROGRAMS: dict[str, tuple[str, str, str, str, str]] = {
     "key_intersect": ("", "Cust Ord", "k: number", "R(k) :- Cust(k, _, _), Ord(k, _, _).", "SELECT c AS k FROM q_Cust INTERSECT SELECT o FROM q_Ord"),
     "cross": ("", "Region Nation", "r: number, n: number", "R(r, n) :- Region(r, _), Nation(n, _, _).", "SELECT DISTINCT g.r, n FROM q_Region g, q_Nation"),
     "theta_join": ("", "Nation", "a: number, b: number", "R(a, b) :- Nation(a, _, r), Nation(b, _, r), a < b.", "SELECT DISTINCT a.n AS a, b.n AS b FROM q_Nation a JOIN q_Nation b USING (r) WHERE a.n < b.n"),
-    "antijoin_kv": ("", "Cust Ord", "k: number, n: number", "R(k, n) :- Cust(k, n, _), !Ord(_, k, _).", "SELECT DISTINCT c AS k, n FROM q_Cust WHERE c NOT IN (SELECT c FROM q_Ord)"),
-    "antijoin_k": ("", "Cust Ord", "k: number", "R(k) :- Cust(k, _, _), !Ord(k, _, _).", "SELECT c AS k FROM q_Cust EXCEPT SELECT o FROM q_Ord"),
+    "antijoin_kv": ("", "Cust Supp", "k: number, n: number", "R(k, n) :- Cust(k, n, _), !Supp(k, n).", "SELECT DISTINCT c AS k, n FROM q_Cust WHERE NOT EXISTS (SELECT 1 FROM q_Supp s WHERE s.s = q_Cust.c AND s.n = q_Cust.n)"),
+    "antijoin_k": ("", "Cust Ord", "k: number", "R(k) :- Ord(k, _, _), !Cust(k, _, _).", "SELECT o AS k FROM q_Ord EXCEPT SELECT c FROM q_Cust"),
     "antijoin_projecting": (
         "", "Ord Cust", "seg: symbol", 'R(seg) :- Cust(c, n, seg), Ord(o, c, _), !Ord(n, c, "F").',
         "SELECT DISTINCT seg FROM q_Cust JOIN q_Ord USING (c) WHERE NOT EXISTS (SELECT 1 FROM q_Ord x WHERE x.o = q_Cust.n AND x.c = q_Cust.c AND x.status = 'F')",
@@ -150,7 +150,7 @@ PROGRAMS: dict[str, tuple[str, str, str, str, str]] = {
         _SQL, "Nation", "n: number, d: number, t: symbol", "R(n, d, t) :- Nation(n, name, r), d = @call(spread, n, r), @call(far, d), t = @call(lowered, name).",
         "SELECT DISTINCT n, abs(n - r * 5) AS d, lower(name) AS t FROM q_Nation WHERE abs(n - r * 5) >= 4",
     ),
-    "event_users": ("", "Ev", "u: number, n: number", 'B(u) :- Ev(_, u, "purchase"). R(u, count(e)) :- Ev(e, u, _), !B(u).', "SELECT u, count(DISTINCT e) AS n FROM q_Ev WHERE u NOT IN (SELECT u FROM q_Ev WHERE type = 'purchase') GROUP BY u"),
+    "event_users": ("", "Ev Supp", "u: number, n: number", "B(u) :- Supp(u, _). R(u, count(e)) :- Ev(e, u, _), !B(u).", "SELECT u, count(DISTINCT e) AS n FROM q_Ev WHERE u NOT IN (SELECT s FROM q_Supp) GROUP BY u"),
     "part_brands": ("", "Part", "brand: symbol, v: number", "R(brand, sum(size)) :- Part(_, brand, size).", "SELECT brand, CAST(sum(DISTINCT size) AS BIGINT) AS v FROM q_Part GROUP BY brand"),
 }
 
@@ -188,17 +188,18 @@ def symbol_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why the smallest derived pair of a closure and the smallest count hold."""
+    """Why the smallest edge is in a closure, and why its first node reaches as many as it does."""
     from .engine import EvaluationOptions
 
     text = ".in .decl Deep(x: number, y: number) .out .decl T(x: number, y: number) .decl N(x: number, n: number) T(x, y) :- Deep(x, y). T(x, z) :- T(x, y), Deep(y, z). N(x, count(y)) :- T(x, y)."
     given = frames(spark, sf_dir, ["Deep"])
     engine = Engine(spark)
-    states = engine.query(text, given)
-    asked = [(n, list(states[n].orderBy("x", states[n].columns[1]).first())) for n in ("T", "N")]
+    edge = given["Deep"].orderBy("x", "y").first()
+    asked = [("T", list(edge))] + [("N", list(r)) for r in engine.query(text, given)["N"].where(F.col("x") == edge["x"]).collect()]
     found = engine.evaluate(text, frames=given, options=EvaluationOptions(explain=asked)).witnesses
-    rows = [(w["relation"], w["row"], w["rule"], [str(p["row"]) for p in w["parents"]]) for w in found]
-    return spark.createDataFrame(rows, "relation string, row array<bigint>, rule bigint, parents array<string>")
+    shown = lambda row: ",".join(map(str, row))
+    rows = [(w["relation"], shown(w["row"]), w["rule"], ";".join(shown(p["row"]) for p in w["parents"])) for w in found]
+    return spark.createDataFrame(rows, "relation string, row string, rule bigint, parents string")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _runner(k) for k in PROGRAMS} | {"symbol_id": symbol_ids, "explain": witnesses}
@@ -214,5 +215,8 @@ def oracle(key: str) -> str:
 
 
 ORACLE = {k: oracle(k) for k in PROGRAMS} | {
-    "symbol_id": "SELECT DISTINCT n_name AS name, CAST(CAST('0x' || substr(sha256(n_name), 1, 16) AS UBIGINT) & CAST(9223372036854775807 AS UBIGINT) AS BIGINT) AS id FROM nation"
+    "symbol_id": "SELECT DISTINCT n_name AS name, CAST(CAST('0x' || substr(sha256(n_name), 1, 16) AS UBIGINT) & CAST(9223372036854775807 AS UBIGINT) AS BIGINT) AS id FROM nation",
+    "explain": "WITH RECURSIVE q_Deep AS (" + RELATIONS["Deep"][1] + "), " + _TC.format(e="q_Deep").removeprefix("WITH RECURSIVE ") + ", e AS (SELECT x, y FROM q_Deep ORDER BY x, y LIMIT 1) "
+    "SELECT 'T' AS relation, x || ',' || y AS \"row\", CAST(0 AS BIGINT) AS rule, x || ',' || y AS parents FROM e "
+    "UNION ALL SELECT 'N', x || ',' || count(*), CAST(2 AS BIGINT), string_agg(x || ',' || y, ';' ORDER BY y) FROM t WHERE x = (SELECT x FROM e) GROUP BY x",
 }

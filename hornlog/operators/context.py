@@ -33,15 +33,16 @@ def wrapping(spark: SparkSession):
             spark.conf.set("spark.sql.ansi.enabled", before)
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of our own only where none is named and the master is local."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named and not context.master.startswith("local"):
         raise Diagnostic("resource", "spark.checkpoint.dir must name a folder that all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hornlog-"))
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="hornlog-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 @dataclass
@@ -64,6 +65,7 @@ class Evaluation:
         self.tuples = 0
         self.rule_seconds: dict[int, float] = {}
         self.rounds = 0
+        self.cuts = 0
         self._done = threading.Event()
 
     @contextmanager
@@ -122,12 +124,13 @@ class Evaluation:
             raise Diagnostic("resource", f"the tuple ceiling of {self.limits.tuple_limit} rows is crossed")
 
     def cut(self, df: DataFrame) -> DataFrame:
-        """A reliable checkpoint: computed now, once, and readable by every executor."""
+        """The rows as a written table: computed now, once, readable by every executor, and of a size that later joins know."""
         self.check()
-        ensure_checkpoints(self.spark)
-        out = df.checkpoint(eager=True)
+        path = f"{shared_folder(self.spark)}/{self.tag}/{self.cuts}"
+        self.cuts += 1
+        df.write.parquet(path)
         self.check()
-        return out
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def diagnose(self, error: Exception) -> Diagnostic:
         if self.over:

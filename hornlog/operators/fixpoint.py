@@ -4,7 +4,13 @@ A round derives rows only from rows that the last round added: each rule runs
 once for each of its recursive atoms, with that atom reading the new rows, atoms
 before it everything and atoms after it everything but the new rows.  What is
 new is checkpointed, so the plan of a round never grows; everything so far is
-kept as a list of parts that is compacted now and then.
+kept as a list of parts that is compacted now and then.  Once that is large, a round
+with few candidates looks them up in it by a broadcast, instead of shuffling it all.
+
+A closure by one linear rule over two columns is squared: round k joins what is
+reached so far with the pairs that are 2**k steps apart, so a chain of n steps takes
+log n rounds.  Where degrees tell that squaring would derive many times more rows
+than it keeps, as in dense graphs, the loop goes on step by step.
 """
 
 from __future__ import annotations
@@ -12,14 +18,19 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..lang.ast import Atom, Program, Rule
+from ..lang.ast import Atom, Expr, Program, Rule, Var
 from ..lang.diagnostics import Diagnostic, Location
 from ..plans.stratify import Stratum
 from .context import Evaluation, wrapping
 from .rules import RulePlan, aggregate, cells
 
 COMPACT_EVERY = 8
+#: Rows so far from which on candidates are looked up by a broadcast, and candidates that are broadcast at most.
+LARGE, FEW = 5_000_000, 200_000
+#: Squaring stops where a round would derive more rows than SQUARES for each row so far, and SPARE besides.
+SQUARES, SPARE = 6, 1_000_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -109,9 +120,15 @@ class Interpreter:
         full: dict[str, list[DataFrame]] = {h: [self.run.cut(self.state(h).distinct() if h in self.given else self.state(h))] for h in heads}
         old = {h: self.empty(h) for h in heads}
         delta = {h: full[h][0] for h in heads}
-        alive = {h: not delta[h].isEmpty() for h in heads}
+        rows = {h: delta[h].count() for h in heads}
+        alive = {h: rows[h] > 0 for h in heads}
         fixed: dict[str, DataFrame] = {}
 
+        def whole(h: str) -> DataFrame:
+            """All rows of a relation so far; of an aggregated one each key's best."""
+            parts = _union(full[h])
+            return aggregate(parts, shapes[h][0], shapes[h][1].op, self.arity(h)) if shapes[h] and len(full[h]) > 1 else parts
+
         def constant(name: str) -> DataFrame:
             """What the loop reads but does not change is computed once."""
             if name not in fixed:
@@ -120,11 +137,17 @@ class Interpreter:
 
         for a in {a.relation for r in stratum.rules for a in [*r.atoms(), *r.negated()]} - set(heads):
             constant(a)
+        if any(alive.values()) and (linear := self._linear(stratum)):
+            full[heads[0]], ended = self._square(full[heads[0]], constant(linear[0]), linear[1])
+            alive[heads[0]] = not ended
+            if not ended:  # everything so far may have unseen successors
+                delta[heads[0]] = _union(full[heads[0]])
+                rows[heads[0]] = delta[heads[0]].count()
         while any(alive.values()):
             self._round()
             produced: dict[str, list[DataFrame]] = {h: [] for h in heads}
-            everything = {h: _union(full[h]) for h in heads}
             with wrapping(self.spark):
+                everything = {h: whole(h) for h in heads}
                 for r in stratum.rules:
                     plan = self.plan(r)
                     recursive = [k for k, a in enumerate(plan.atoms) if a.relation in shapes]
@@ -142,34 +165,93 @@ class Interpreter:
                         produced[r.head.relation].append(plan.rows(source, i))
             fresh: dict[str, DataFrame] = {}
             for h in heads:
-                if not produced[h]:
-                    continue
-                names = cells(self.arity(h))
-                with wrapping(self.spark):
-                    if shapes[h]:
-                        merged = aggregate(_union([everything[h], *produced[h]]), shapes[h][0], shapes[h][1].op, self.arity(h))
-                        new = merged.join(everything[h], names, "left_anti")
-                    else:
-                        new = _union(produced[h]).distinct().join(everything[h], names, "left_anti")
-                fresh[h] = self.run.cut(new)
+                if produced[h]:
+                    with wrapping(self.spark):
+                        fresh[h] = self._better(h, produced[h], everything[h]) if shapes[h] else self._new(h, produced[h], everything[h], rows[h])
             old = everything
             for h in heads:
-                alive[h] = h in fresh and not fresh[h].isEmpty()
+                n = fresh[h].count() if h in fresh else 0
+                alive[h] = n > 0
                 if not alive[h]:
                     continue
                 delta[h] = fresh[h]
-                if shapes[h]:  # a better value replaces the old row
+                full[h].append(fresh[h])
+                rows[h] += n
+                if len(full[h]) > COMPACT_EVERY:
                     with wrapping(self.spark):
-                        full[h] = [self.run.cut(aggregate(_union([*full[h], fresh[h]]), shapes[h][0], shapes[h][1].op, self.arity(h)))]
-                else:
-                    full[h].append(fresh[h])
-                    if len(full[h]) > COMPACT_EVERY:
-                        full[h] = [self.run.cut(_union(full[h]))]
+                        full[h] = [self.run.cut(whole(h))]
         for h in heads:
-            self.states[h] = _union(full[h])
+            with wrapping(self.spark):
+                self.states[h] = whole(h)
             if shapes[h]:
                 self.raw[h] = self.states[h]
 
+    def _new(self, name: str, produced: list[DataFrame], everything: DataFrame, n: int) -> DataFrame:
+        """What of the head rows is not in ``everything``, which has n rows."""
+        names, found = cells(self.arity(name)), _union(produced).distinct()
+        if n >= LARGE:
+            found = self.run.cut(found)
+            if found.count() <= FEW:
+                known = everything.join(F.broadcast(found), names, "left_semi")
+                return self.run.cut(found.join(F.broadcast(known), names, "left_anti"))
+        return self.run.cut(found.join(everything, names, "left_anti"))
+
+    def _better(self, name: str, produced: list[DataFrame], everything: DataFrame) -> DataFrame:
+        """Aggregated head rows (min or max) whose value betters their key's."""
+        position, agg = self.shape[name]
+        value, names = f"c{position}", cells(self.arity(name))
+        keys = [c for c in names if c != value]
+        best = aggregate(_union(produced), position, agg.op, len(names))
+        if not keys:
+            return self.run.cut(aggregate(best.union(everything), position, agg.op, len(names)).join(everything, names, "left_anti"))
+        known = everything.withColumnRenamed(value, "known")
+        wins = F.col(value) < F.col("known") if agg.op == "min" else F.col(value) > F.col("known")
+        return self.run.cut(best.join(known, keys, "left").where(F.col("known").isNull() | wins).select(*names))
+
+    def _linear(self, stratum: Stratum) -> tuple[str, bool] | None:
+        """(E, whether the rule is R(x, z) :- R(x, y), E(y, z)) if that, or its mirror image, is all the stratum has."""
+        if len(stratum.rules) != 1:
+            return None
+        rule = stratum.rules[0]
+        name, atoms = rule.head.relation, rule.atoms()
+        if self.shape[name] or len(rule.body) != 2 or len(atoms) != 2 or self.arity(name) != 2 or sum(a.relation == name for a in atoms) != 1:
+            return None
+        a, b = atoms if [x.name for x in atoms[0].args if isinstance(x, Var)][-1:] == [x.name for x in atoms[1].args if isinstance(x, Var)][:1] else atoms[::-1]
+        args = [*a.args, *b.args, *rule.head.args]
+        args = [x.first if isinstance(x, Expr) and not x.rest else x for x in args]
+        if len(args) != 6 or not all(isinstance(x, Var) for x in args):
+            return None
+        x, y, y2, z, hx, hz = (v.name for v in args)
+        if y != y2 or len({x, y, z}) != 3 or (hx, hz) != (x, z):
+            return None
+        return (b.relation, True) if a.relation == name else (a.relation, False)
+
+    def _square(self, full: list[DataFrame], steps: DataFrame, right: bool) -> tuple[list[DataFrame], bool]:
+        """Rows with all paths of up to 2**k steps, for growing k; and whether that is all, or dense graphs ask to go on step by step."""
+        names, power = ["c0", "c1"], steps
+
+        def then(a: DataFrame, b: DataFrame) -> DataFrame:
+            a, b = a.select(F.col("c0"), F.col("c1").alias("y")).where("y is not null"), b.select(F.col("c0").alias("y"), "c1")
+            return a.join(b, "y").select(*names).distinct()
+
+        while True:
+            reached = _union(full)
+            one, none = F.lit(1), F.lit(0)
+            ends = reached.select(F.col("c1" if right else "c0").alias("y"), one.alias("r"), none.alias("o"), none.alias("i"))
+            ends = ends.union(power.select("c0", none, one, none)).union(power.select("c1", none, none, one)).groupBy("y").agg(*[F.sum(x).cast("double").alias(x) for x in "roi"])
+            size = ends.agg(F.sum(F.col("r") * F.col("o" if right else "i")).alias("derived"), F.sum(F.col("o") * F.col("i")).alias("squared"), F.sum("r").alias("rows")).first()
+            most = SQUARES * (size["rows"] or 0) + SPARE
+            if not size["derived"]:
+                return full, True
+            if size["derived"] > most or size["squared"] > most:
+                return full, False
+            self._round()
+            new = self.run.cut(then(reached, power).join(reached, names, "left_anti") if right else then(power, reached).join(reached, names, "left_anti"))
+            if new.isEmpty():
+                return full, True
+            full.append(new)
+            power = self.run.cut(then(power, power))
+
     def _naive(self, stratum: Stratum, heads: list[str]) -> None:
         """Counts and sums in a loop: everything anew from the last states until nothing changes."""
         base = {h: self.raw.get(h, None) for h in heads}

@@ -78,6 +78,8 @@ class RulePlan:
                     df = df.where(F.col(f"c{k}") == F.col(first[a.name]))
                 else:
                     first[a.name] = f"c{k}"
+        for v, c in first.items():  # a NULL of a given table binds no variable
+            df = df.where(F.col(c).isNotNull()) if v in keep else df
         chosen = [F.col(c).alias(self.column[v]) for v, c in first.items() if v in keep]
         return df.select(*chosen) if chosen else df.select(F.lit(1).alias(UNIT)).limit(1)
 
@@ -129,7 +131,7 @@ class RulePlan:
                     if c.target is None and names and names <= bound - waiting and names & mine:
                         df = df.where(self._call(c, lenient=True))
         for c in calls:
-            df = df.withColumn(self.column[c.target], self._call(c)) if c.target else df.where(self._call(c))
+            df = df.withColumn(self.column[c.target], self._call(c)).where(F.col(self.column[c.target]).isNotNull()) if c.target else df.where(self._call(c))
         for c in compares:
             df = df.where(self.compare(c))
         return df.where(F.lit(False)) if rule.never() else df

@@ -7,12 +7,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..lang.ast import NUMBER, Decl, Program
+from ..lang.ast import NUMBER, SYMBOL, Decl, Program
 from ..lang.diagnostics import Diagnostic
 from ..operators.rules import UNIT, cells
 
 QUOTED = 120
+#: Column types that a DataFrame may give each type in.
+_TYPES = {NUMBER: (T.ByteType, T.ShortType, T.IntegerType, T.LongType), SYMBOL: (T.StringType, T.VarcharType, T.CharType)}
 
 
 def _shown(cell: str) -> str:
@@ -97,8 +100,9 @@ def from_rows(spark: SparkSession, program: Program, rows: dict[str, list]) -> d
 
 
 def from_frames(program: Program, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """DataFrames, columns by position; whole numbers become 64-bit.
+    """DataFrames, columns by position; whole numbers become 64-bit, other types than whole numbers and text are refused.
 
+    A NULL cell is no value: no variable, constant or repeat matches it, only a wildcard does.
     They are sets by meaning, but are not made distinct here: every head is, so a large table is spared that shuffle."""
     out = {}
     for name, df in frames.items():
@@ -110,6 +114,9 @@ def from_frames(program: Program, frames: dict[str, DataFrame]) -> dict[str, Dat
             continue
         if len(df.columns) != len(types):
             raise Diagnostic("input", f"{name} has {len(types)} columns, but is given {len(df.columns)}", relations=[name])
+        for field, t in zip(df.schema.fields, types, strict=True):
+            if not isinstance(field.dataType, _TYPES[t]):
+                raise Diagnostic("input", f"column {field.name} of {name} is {field.dataType.simpleString()}, not a {t}", relations=[name])
         positional = df.toDF(*[f"c{k}" for k in range(len(types))])
         out[name] = positional.select(*[F.col(f"c{k}").cast("bigint" if t == NUMBER else "string").alias(f"c{k}") for k, t in enumerate(types)])
     return out

@@ -51,9 +51,53 @@ def test_symbol_ids(spark):
     assert row["i"] == symbol_id("main")
 
 
-def test_witness_query(spark):
-    rows = {r["relation"]: r for r in catalog.witnesses(spark, SMALL).collect()}
-    assert rows["T"]["rule"] in (0, 1) and rows["N"]["parents"]
+def test_no_query_is_empty(spark):
+    middle = SMALL.replace("0.001", "0.01")
+    for name in ("antijoin_kv", "antijoin_k", "event_users"):
+        assert not catalog.QUERIES[name](spark, middle).isEmpty()
+
+
+def test_frames_of_wrong_types_and_nulls(spark, engine):
+    closure = ".in .decl E(x: number, y: number) .out .decl R(x: number, y: number) .out .decl N(x: number) R(x, y) :- E(x, y). R(x, z) :- R(x, y), E(y, z). N(x) :- E(x, _), !R(x, 1)."
+    given = spark.createDataFrame([(None, 1), (1, 1), (2, None), (3, 1), (4, 5)], "a int, b int")
+    got = engine.query(closure, {"E": given})
+    assert sorted(map(tuple, got["R"].collect())) == [(1, 1), (3, 1), (4, 5)]
+    assert sorted(map(tuple, got["N"].collect())) == [(2,), (4,)]  # a wildcard matches a NULL, a variable does not
+    for kind, cell in (("double", 1.5), ("string", "1"), ("boolean", True), ("decimal(5,1)", __import__("decimal").Decimal(1))):
+        with pytest.raises(Diagnostic) as e:
+            engine.query(closure, {"E": spark.createDataFrame([(cell, 1)], f"a {kind}, b bigint")})
+        assert e.value.kind == "input"
+    null = ".code sql\nnone(n: int) -> int = nullif(n, 2)\n.endcode\n.in .decl E(x: number) .out .decl R(x: number) R(y) :- E(x), y = @call(none, x)."
+    assert sorted(r[0] for r in engine.query(null, {"E": spark.createDataFrame([(1,), (2,), (3,)], "x bigint")})["R"].collect()) == [1, 3]
+
+
+def closure(edges, base):
+    reached, fresh = set(base), set(base)
+    while fresh:
+        fresh = {(x, z) for x, y in fresh for a, z in edges if a == y} - reached
+        reached |= fresh
+    return reached
+
+
+def test_linear_closures_are_squared(spark, engine, monkeypatch):
+    """Chains, cycles and dense graphs, both directions, another base; also where squaring stops and where candidates are looked up."""
+    import random
+
+    from hornlog.operators import fixpoint
+
+    rng = random.Random(6)
+    graphs = [[(k, k + 1) for k in range(40)], [(k, (k + 1) % 13) for k in range(13)], [(rng.randrange(30), rng.randrange(30)) for _ in range(200)], [(5, 5)], []]
+    text = ".in .decl E(x: number, y: number) .decl B(x: number, y: number) .out .decl R(x: number, y: number) .out .decl L(x: number, y: number) R(x, y) :- B(x, y). R(a, c) :- R(a, b), E(b, c). L(x, y) :- B(x, y). L(a, c) :- L(b, c), E(a, b)."
+    for squares, spare, large in ((6, 10**6, 10**9), (0, 0, 0)):
+        monkeypatch.setattr(fixpoint, "SQUARES", squares)
+        monkeypatch.setattr(fixpoint, "SPARE", spare)
+        monkeypatch.setattr(fixpoint, "LARGE", large)
+        for edges in graphs[:3] if squares else graphs[2:]:
+            base = [(100 + k, x) for k, (x, _) in enumerate(edges[:3])] + [(y, 200 + k) for k, (_, y) in enumerate(edges[:3])]
+            got = engine.evaluate(text, {"E": edges, "B": base})
+            assert got.rows("R") == sorted(closure(edges, base))
+            back = {(z, x) for x, z in closure([(b, a) for a, b in edges], [(y, x) for x, y in base])}
+            assert got.rows("L") == sorted(back)
 
 
 def test_facts(engine, tmp_path):
