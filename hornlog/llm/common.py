@@ -55,9 +55,10 @@ def discard(df: DataFrame) -> None:
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra ones never clash; Arrow batches of them are kept to a few MB."""
+    """Only the named columns, so that extra ones never clash; whole numbers as 64 bits.  Arrow batches are kept to a few MB."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    kinds = dict(df.dtypes)
+    return df.select(*[F.col(f"`{n}`").cast("bigint").alias(n) if kinds[n] in ("tinyint", "smallint", "int") else F.col(f"`{n}`") for n in names])
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
