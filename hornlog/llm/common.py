@@ -217,6 +217,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, after whose last batch a worker gives its memory back before it goes on to another task."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own pools keep more of what was freed
         yield from run(batches)
         _give_back()
 

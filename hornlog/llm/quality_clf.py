@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Segments, bounded, crc_fold, fold, mix64, pick, tidy
+from .common import Segments, bounded, crc_fold, fold, materialize, mix64, pick, tidy
 
 WORD_SLOTS, SHAPE_SLOTS, DIM = 1 << 13, 1 << 9, 24
 SLOTS = WORD_SLOTS + SHAPE_SLOTS
@@ -162,7 +162,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     spark = documents.sparkSession
     known = pick(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     chosen = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    chosen = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id bigint, quality int")  # at most train_rows rows
+    chosen = materialize(chosen, "labelled-sample")  # at most train_rows rows
     held = spark.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
