@@ -35,11 +35,9 @@ from .common import Segments, bounded, discard, inside, materialize, mix64, pick
 #: Perfect difference covers by period: every difference modulo the period occurs.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
 WINDOW = 50
-#: Ids of whole copies that are broadcast at most (16 bytes each); more are joined by a shuffle.
+#: Ids that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-_PASS = "doc_id bigint, n_words bigint, candidate boolean, text string, h1 array<bigint>, h2 array<bigint>"
-
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     """The largest period that leaves anchors of a third of the window at least."""
@@ -72,6 +70,18 @@ def _lists(parent: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(parent, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _listed(lists: pa.Array) -> np.ndarray:
+    """The hashes in the lists of a batch's rows, each told apart by its row."""
+    sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+    values = np.concatenate([np.empty(0, np.uint64), *[np.asarray(x.values, np.int64).view(np.uint64) for x in lists if x.is_valid]])
+    return _own_key(values, np.repeat(np.arange(len(sizes)), sizes))
+
+
+def _among(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows whose id is in ``some``, by a broadcast of the ids if they are few, so that no other text is shuffled."""
+    return docs.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi") if some.count() <= BROADCAST_ROWS else docs
+
+
 def whole_copies(docs: DataFrame) -> DataFrame:
     """Ids of documents all of whose words are, in order, those of one with a smaller id; ids of several rows are left out."""
 
@@ -123,6 +133,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
     shared = materialize(shared, "shared")
     marked = materialize(rows.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("shared")), "marked")
     discard(rows)
+    discard(shared)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
@@ -130,65 +141,52 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, keep_text: bool =
             w = Segments(texts, second=True)
             m, n = len(texts), len(w.hash)
             at, h = anchors(w, period, cover, length)
-            sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-            known = _own_key(np.concatenate([np.empty(0, np.uint64), *[np.asarray(x.values, np.int64).view(np.uint64) for x in lists if x.is_valid]]), np.repeat(np.arange(m), sizes))
-            at = at[np.isin(_own_key(h, w.which()[at]), known)]
+            at = at[np.isin(_own_key(h, w.which()[at]), _listed(lists))]
             near = np.zeros(n + 1, np.int64)
             np.add.at(near, np.maximum(at - period + 1, 0), 1)
             np.add.at(near, at + 1, -1)
             start = np.flatnonzero((np.cumsum(near)[: max(0, n - window + 1)] > 0) & inside(w.starts, n, window))
             h1, h2, text = sequence_hash(w.hash, window)[start], sequence_hash(w.hash2, window)[start], w.which()[start]
             once = np.sort(_once(text, h1))
-            h1, h2, text = h1[once], h2[once], text[once]
-            candidate = np.bincount(text, minlength=m) > 0
-            whole = np.array(batch.column(3).to_pylist(), bool) & (w.n >= window)
-            out = []
-            for k, t in enumerate(texts):
-                if candidate[k] and not whole[k]:
-                    out.append(t)
-                elif whole[k]:
-                    out.append("")
-                else:
-                    out.append(t if as_is else _kept(w, k, None))
-            if not keep_text:
-                out = [t if candidate[k] and not whole[k] else hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for k, t in enumerate(out)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(w.n), pa.array(candidate & ~whole), pa.array(out, pa.string()), _lists(text, h1, m), _lists(text, h2, m), pa.array(np.where(whole, w.n, 0)), batch.column(4)],
-                ["doc_id", "n_words", "candidate", "text", "h1", "h2", "n_removed", "carried"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(text[once], h1[once], m), _lists(text[once], h2[once], m)], ["doc_id", "h1", "h2"])
 
-    flagged = with_carried.join(bound(copies.withColumn("copy", F.lit(True))), "doc_id", "left").join(marked, "doc_id", "left")
-    flagged = flagged.select("doc_id", "text", "shared", F.coalesce("copy", F.lit(False)).alias("copy"), "carried")
-    judged = materialize(flagged.mapInArrow(tidy(windows), f"{_PASS}, n_removed bigint, carried {carried_type}"), "windows")
+    candidates = _among(docs, marked).join(marked, "doc_id").select("doc_id", "text", "shared")
+    judged = materialize(candidates.mapInArrow(tidy(windows), "doc_id bigint, h1 array<bigint>, h2 array<bigint>"), "windows")
+    discard(marked)
 
-    each = judged.where("candidate").select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_id", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
+    each = judged.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_id", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
     least = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    hits = each.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("h1").alias("hits"))
+    hits = materialize(each.join(least, ["h1", "h2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_list("h1").alias("hits")), "hits")
+    discard(judged)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            texts, lists = batch.column(1).to_pylist(), batch.column(2)
+            texts = batch.column(1).to_pylist()
             w = Segments(texts)
             n = len(w.hash)
             start = np.flatnonzero(inside(w.starts, n, window))
-            sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
-            known = _own_key(np.concatenate([np.empty(0, np.uint64), *[np.asarray(x.values, np.int64).view(np.uint64) for x in lists if x.is_valid]]), np.repeat(np.arange(len(texts)), sizes))
-            start = start[np.isin(_own_key(sequence_hash(w.hash, window)[start], w.which()[start]), known)]
+            start = start[np.isin(_own_key(sequence_hash(w.hash, window)[start], w.which()[start]), _listed(batch.column(4)))]
             cover_up = np.zeros(n + 1, np.int64)
             np.add.at(cover_up, start, 1)
             np.add.at(cover_up, start + window, -1)
             gone = np.cumsum(cover_up)[:n] > 0
+            gone |= (np.array(batch.column(2).to_pylist(), bool) & (w.n >= window))[w.which()]
             removed = w.per_text(gone)
-            kept = [texts[k] if as_is and not removed[k] else _kept(w, k, gone) for k in range(len(texts))]
+            kept = [t if as_is and not removed[k] else _kept(w, k, gone) for k, t in enumerate(texts)]
             if not keep_text:
                 kept = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in kept]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.n), pa.array(removed), pa.array(kept, pa.string()), batch.column(3)], ["doc_id", "n_words", "n_removed", "kept", "carried"])
 
-    done = judged.where("not candidate").select("doc_id", "n_words", "n_removed", F.col("text").alias("kept"), "carried")
-    rest = judged.where("candidate").select("doc_id", "text", "carried").join(hits, "doc_id", "left").select("doc_id", "text", "hits", "carried")
-    rest = rest.mapInArrow(tidy(finish), f"doc_id bigint, n_words bigint, n_removed bigint, kept string, carried {carried_type}")
-    both = done.unionByName(rest)
-    return both if carry else both.drop("carried")
+    flagged = with_carried.join(bound(copies.withColumn("copy", F.lit(True))), "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "carried")
+    columns = ["doc_id", "text", "copy", "carried", "hits"]
+    if hits.count() <= BROADCAST_ROWS:  # only texts that lose a window go through a shuffle
+        ids = F.broadcast(hits.select("doc_id"))
+        lost = flagged.join(ids, "doc_id", "left_semi").join(hits, "doc_id").select(*columns)
+        found = flagged.join(ids, "doc_id", "left_anti").withColumn("hits", F.lit(None).cast("array<bigint>")).select(*columns).union(lost)
+    else:
+        found = flagged.join(hits, "doc_id", "left").select(*columns)
+    done = found.mapInArrow(tidy(finish), f"doc_id bigint, n_words bigint, n_removed bigint, kept string, carried {carried_type}")
+    return done if carry else done.drop("carried")
 
 
 def _kept(w: Segments, k: int, gone: np.ndarray | None) -> str:
