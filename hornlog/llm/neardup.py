@@ -5,9 +5,11 @@ A document is the set of hashes of its word shingles.  Each hash falls in one of
 keeps the count of leading zeros and ten mantissa bits.  Registers (empty ones
 filled from the next bucket) are cut into 32 bands of four; documents that agree
 on a band are candidates.  A pair of similarity 0.8 is missed by all bands with
-a probability below 1e-7.  Sets of up to ``SMALL`` shingles are not left to
-chance: they are keyed by the shingles of their prefix in a global order (rare
-hash classes first), and two sets at the threshold always share one.
+a probability below 1e-7.  Sets of fewer than ``FEW`` shingles would leave most
+buckets empty: each of their shingles stands for several copies with hashes of
+their own, which leaves the similarity as it is.  The number of copies follows
+the size in powers of two; a set that may be linked with larger ones of fewer
+copies has a row of registers for each number.
 
 Candidates are never all pairs of a bucket.  Copies are settled first, by one
 128-bit hash per set.  Then every document of a bucket is compared with the
@@ -27,6 +29,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +40,12 @@ from pyspark.sql import functions as F
 from .common import Segments, bounded, inside, materialize, mix64, pick, sequence_hash, tidy
 
 BUCKETS, ROWS = 128, 4
-SMALL = 128
+#: Smaller sets count each shingle several times, so that they have MANY / 2 members or more in all.
+FEW, MANY = 128, 1024
 EMPTY = 0xFFFF
 #: Pairs are dropped if their estimate is so many standard deviations below the threshold; at it, fewer than one in 10**8 is.
 CUT = 6.5
 _REST, _MANTISSA = 52, 10
-#: Hash classes of the global order of shingles.
-CLASSES = 1 << 16
 #: Buckets up to this size are compared by a join, larger ones block by block.
 JOINED, BLOCK = 24, 512
 #: Ids of candidates that are broadcast at most (8 bytes each); more are joined by a shuffle.
@@ -68,18 +70,59 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of BUCKETS registers for each set; EMPTY where no hash fell."""
-    n = np.array([len(s) for s in sets], np.int64)
-    h = np.concatenate([np.empty(0, np.uint64), *sets])
-    place = np.repeat(np.arange(len(sets)), n) * BUCKETS + (h >> np.uint64(57)).astype(np.int64)
-    first = np.flatnonzero(np.diff(np.concatenate([[-1], place])))  # sets are sorted: the smallest comes first
-    rest = ((h[first] >> np.uint64(5)) & np.uint64((1 << _REST) - 1)).astype(np.int64)
+@functools.cache
+def copies(n: int, percent: int) -> tuple[int, ...]:
+    """How often each shingle of a set of n counts: by itself first, then beside larger sets that it may be linked with."""
+    most = n * 100 // percent
+    few = [MANY >> (k - 1) for k in range(n.bit_length(), min(most, FEW - 1).bit_length() + 1)] if n else []
+    return (*few, 1) if most >= FEW else tuple(few)
+
+
+def registers(sets: list[np.ndarray], times: int = 1) -> np.ndarray:
+    """One row of BUCKETS registers for each set, whose members count ``times`` times; EMPTY where no hash fell."""
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    best = np.full(len(sets) * BUCKETS, none)
+    salts = np.arange(times, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for a in range(0, len(sets), 128):  # pieces of a few MB
+        some = sets[a : a + 128]
+        h = np.concatenate(some)
+        row = np.repeat(np.arange(a, a + len(some)) * BUCKETS, [len(s) * times for s in some])
+        if times > 1:
+            with np.errstate(over="ignore"):
+                h = mix64((h[:, None] + salts).ravel())
+        np.minimum.at(best, row + (h >> np.uint64(57)).astype(np.int64), h)
+    rest = ((best >> np.uint64(5)) & np.uint64((1 << _REST) - 1)).astype(np.int64)
     zeros = _REST - np.frexp(rest.astype(np.float64))[1]
     mantissa = ((rest << zeros) >> (_REST - 1 - _MANTISSA)) & ((1 << _MANTISSA) - 1)
-    out = np.full(len(sets) * BUCKETS, EMPTY, np.uint16)
-    out[place[first]] = (zeros << _MANTISSA | mantissa).astype(np.uint16)
-    return out.reshape(len(sets), BUCKETS)
+    out = np.where(best == none, EMPTY, zeros << _MANTISSA | mantissa)
+    return out.astype(np.uint16).reshape(len(sets), BUCKETS)
+
+
+def sketches_of(sets: list[np.ndarray], percent: int) -> list[bytes | None]:
+    """The rows of registers of each set, one for each of its ``copies``; an empty set has none."""
+    wanted = [copies(len(s) if len(s) < FEW else FEW, percent) for s in sets]
+    rows = [[] for _ in sets]
+    for times in sorted({t for x in wanted for t in x}, reverse=True):
+        at = [k for k, x in enumerate(wanted) if times in x]
+        for k, row in zip(at, registers([sets[k] for k in at], times), strict=True):
+            rows[k].append(row.tobytes())
+    return [b"".join(x) or None for x in rows]
+
+
+def row_beside(raw: bytes, n: int, other: int, percent: int) -> bytes:
+    """The row of registers of a set of n that compares with a set of ``other`` that it may be linked with."""
+    times = copies(min(max(n, other), FEW), percent)[0]
+    k = copies(min(n, FEW), percent).index(times)
+    return raw[k * 2 * BUCKETS : (k + 1) * 2 * BUCKETS]
+
+
+def keys_of(raw: list[bytes], n: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, the numbers of the sets that have them); rows of different ``copies`` share no key."""
+    times = [copies(min(x, FEW), percent) for x in n]
+    bands = band_keys(np.frombuffer(b"".join(raw), np.uint16).reshape(-1, BUCKETS))
+    salt = mix64(np.array([t for x in times for t in x], np.uint64))
+    who = np.repeat(np.arange(len(raw)), [len(x) for x in times])
+    return mix64(bands ^ salt[:, None]).ravel(), np.repeat(who, bands.shape[1])
 
 
 def band_keys(r: np.ndarray) -> np.ndarray:
@@ -109,7 +152,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
 
 
 def sketch(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    longest_small = SMALL * 100 // percent
+    longest_small = FEW * 100 // percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
@@ -121,11 +164,10 @@ def sketch(documents: DataFrame, size: int, percent: int) -> DataFrame:
             for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ np.uint64(salt)))])
                 keys.append(pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)))
-            r = registers(sets)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n), *keys,
-                    pa.array([r[k].tobytes() if n[k] > SMALL else None for k in range(len(n))], pa.binary()),
+                    pa.array(sketches_of(sets, percent), pa.binary()),
                     pa.array([sets[k].tobytes() if 0 < n[k] <= longest_small else None for k in range(len(n))], pa.binary()),
                 ],
                 ["doc_id", "n", "k1", "k2", "registers", "small"],
@@ -134,50 +176,17 @@ def sketch(documents: DataFrame, size: int, percent: int) -> DataFrame:
     return materialize(documents.mapInArrow(tidy(run), SKETCH), "sketches")
 
 
-def _class_counts(reps: DataFrame) -> np.ndarray:
-    """How many shingles of small sets fall in each hash class: a fixed-size table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(CLASSES)).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "c"])
-
-    rows = reps.where("small is not null").select("small").mapInArrow(tidy(run), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).collect()
-    out = np.zeros(CLASSES, np.int64)
-    for r in rows:
-        out[r["k"]] = r["c"]
-    return out
-
-
 def candidate_keys(reps: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id, n, band): documents that may reach the threshold share a key."""
-    order = reps.sparkSession.sparkContext.broadcast(_class_counts(reps))
+    """(key, doc_id, n): documents that agree on a band share a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n = (np.array(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
-            raw, small = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            big = [k for k, x in enumerate(raw) if x is not None]
-            keys, who, n_band = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-            if big:
-                bands = band_keys(np.frombuffer(b"".join(raw[k] for k in big), np.uint16).reshape(len(big), BUCKETS))
-                keys.append(bands.ravel())
-                who.append(np.repeat(np.array(big), bands.shape[1]))
-                n_band = bands.size
-            for k, x in enumerate(small):
-                if x is not None:
-                    s = np.frombuffer(x, np.uint64)
-                    prefix = len(s) - -(-percent * len(s) // 100) + 1
-                    rank = np.lexsort((s, order.value[(s % np.uint64(CLASSES)).astype(np.int64)]))
-                    keys.append(mix64(s[rank[:prefix]] ^ np.uint64(0xA4093822299F31D0)))
-                    who.append(np.full(prefix, k))
-            at = np.concatenate(who)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[at]), pa.array(n[at]), pa.array(np.arange(len(at)) < n_band)], ["key", "doc_id", "n", "band"])
-
-    return reps.select("doc_id", "n", "registers", "small").mapInArrow(tidy(run), "key bigint, doc_id bigint, n bigint, band boolean")
+            for a in range(0, batch.num_rows, 1000):
+                ids, n = (np.array(batch.column(k).slice(a, 1000).to_pylist(), np.int64) for k in (0, 1))
+                keys, at = keys_of(batch.column(2).slice(a, 1000).to_pylist(), n.tolist(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[at]), pa.array(n[at])], ["key", "doc_id", "n"])
+
+    return reps.select("doc_id", "n", "registers").mapInArrow(tidy(run), "key bigint, doc_id bigint, n bigint")
 
 
 class Matcher:
@@ -195,17 +204,15 @@ class Matcher:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cols = {name: batch.column(batch.schema.get_field_index(name)) for name in ("a", "b", "na", "nb", "ra", "rb")}
-                ra, rb = cols["ra"].to_pylist(), cols["rb"].to_pylist()
-                keep = np.ones(len(ra), bool)
-                at = [k for k in range(len(ra)) if ra[k] is not None and rb[k] is not None]
-                if at:
-                    x, y = (np.frombuffer(b"".join(r[k] for k in at), np.uint16).reshape(-1, BUCKETS) for r in (ra, rb))
-                    na, nb = (np.array(cols[c].to_pylist(), np.float64)[at] for c in ("na", "nb"))
-                    j, used = estimate(x, y, na, nb)
-                    t = percent / 100
-                    keep[at] = j >= t - CUT * np.sqrt(t * (1 - t) / np.maximum(used, 1))
-                yield pa.RecordBatch.from_arrays([cols["a"].filter(pa.array(keep)), cols["b"].filter(pa.array(keep))], ["a", "b"])
+                a, b, na, nb, ra, rb = (batch.column(batch.schema.get_field_index(name)).to_pylist() for name in ("a", "b", "na", "nb", "ra", "rb"))
+                x = [row_beside(r, n, o, percent) for r, n, o in zip(ra, na, nb, strict=True)]
+                y = [row_beside(r, n, o, percent) for r, n, o in zip(rb, nb, na, strict=True)]
+                x, y = (np.frombuffer(b"".join(r), np.uint16).reshape(-1, BUCKETS) for r in (x, y))
+                times = np.array([copies(min(max(n, o), FEW), percent)[0] for n, o in zip(na, nb, strict=True)], np.float64)
+                j, used = estimate(x, y, np.array(na) * times, np.array(nb) * times)
+                t = percent / 100
+                keep = pa.array(j >= t - CUT * np.sqrt(t * (1 - t) / np.maximum(used, 1)), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], ["a", "b"])
 
         joined = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
@@ -271,19 +278,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of buckets that hold several components: what is outside the largest one with the rest.
-
-    Two sets that both have prefix keys meet there, so pairs of a band's bucket leave those out."""
-    placed = shared.select("key", "doc_id", "n", "band").join(labels, "doc_id", "left").select("key", "doc_id", "n", "band", F.coalesce("component", "doc_id").alias("c"))
+    """Pairs (a, b) of buckets that hold several components: what is outside the largest one with the rest."""
+    placed = shared.select("key", "doc_id", "n").join(labels, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     placed = materialize(placed, "placed")
     parts = placed.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m"), F.count("*").alias("parts"), F.sum("count").alias("size")).where("parts > 1")
     parts = parts.select("key", F.col("m.c").alias("main"), "size", (F.col("size") - F.col("m.count")).alias("out"))
-    mixed = materialize(placed.join(parts, "key").withColumn("is_small", F.col("n") <= SMALL * 100 // percent), "mixed")
-    wanted = ~(F.col("band") & F.col("is_small") & F.col("x_small")) & (F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("doc_id") > F.col("x")))
+    mixed = materialize(placed.join(parts, "key"), "mixed")
+    wanted = (F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("doc_id") > F.col("x")))
     wanted = wanted & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent)
 
     few = mixed.where(F.col("size") <= JOINED)
-    outside = few.where("c <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("is_small").alias("x_small"))
+    outside = few.where("c <> main").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
     by_join = few.join(outside, "key").where(wanted).select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
 
     # larger buckets: (block of outsiders, block of members) pairs, each one group
@@ -291,7 +296,7 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, percent: int)
     blocks, out_blocks = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("out") / BLOCK)
     mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     mine_out = F.pmod(F.xxhash64("doc_id"), out_blocks).cast("int")
-    columns = ["key", "i", "j", "doc_id", "c", "main", "n", "band", "outside"]
+    columns = ["key", "i", "j", "doc_id", "c", "main", "n", "outside"]
     out_rows = many.where("c <> main").select(
         "*", mine_out.alias("i"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("j"), F.lit(True).alias("outside")
     )
@@ -310,7 +315,7 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, percent: int)
 def block_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of an outsider and a member of one block pair that may be linked: exact where both sets are small, else estimated."""
     outside, ids, c, n = (table[x].to_numpy(zero_copy_only=False) for x in ("outside", "doc_id", "c", "n"))
-    main, band = table["main"][0].as_py(), table["band"][0].as_py()
+    main = table["main"][0].as_py()
     xs, ms = np.flatnonzero(outside), np.flatnonzero(~outside)
     if not len(xs) or not len(ms):
         return ids[:0], ids[:0]
@@ -321,7 +326,7 @@ def block_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     ok &= np.minimum(nx, nm) * 100 >= np.maximum(nx, nm) * percent
     both = is_small[xs][:, None] & is_small[ms][None, :]
     hit = np.zeros_like(ok)
-    if not band and (ok & both).any():
+    if (ok & both).any():
         sets = [np.frombuffer(small[k], np.uint64) if small[k] is not None else np.empty(0, np.uint64) for k in range(len(ids))]
         flat = np.concatenate(sets)
         _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -334,14 +339,13 @@ def block_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         shared = np.rint(flags[xs] @ flags[ms].T).astype(np.int64)
         hit |= ok & both & (100 * shared >= percent * (nx + nm - shared))
     if (ok & ~both).any():
-        r = np.stack([np.frombuffer(x, np.uint16) if x is not None else np.full(BUCKETS, EMPTY, np.uint16) for x in raw])
-        sketched = np.array([x is not None for x in raw])
+        r = np.stack([np.frombuffer(x[-2 * BUCKETS :], np.uint16) for x in raw])  # both sets of such a pair have FEW shingles or more
         for k, x in enumerate(xs):
             at = np.flatnonzero(ok[k] & ~both[k])
             if len(at):
                 j, used = estimate(np.broadcast_to(r[x], (len(at), BUCKETS)), r[ms[at]], np.full(len(at), float(n[x])), n[ms[at]].astype(float))
                 t = percent / 100
-                hit[k, at] = ~(sketched[x] & sketched[ms[at]]) | (j >= t - CUT * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
+                hit[k, at] = j >= t - CUT * np.sqrt(t * (1 - t) / np.maximum(used, 1))
     i, j = np.nonzero(hit)
     a, b = ids[xs[i]], ids[ms[j]]
     return np.minimum(a, b), np.maximum(a, b)

@@ -70,3 +70,38 @@ def test_one_large_family(spark):
             rows.append((len(rows) * 7 % 1000 + size * 1000, " ".join(text)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert rows_of(neardup.near_duplicates(df, 4)) == sorted(brute.near(rows, 4, 80), key=str)
+
+
+def test_small_sets_share_a_band_and_pass_the_estimate():
+    """10,000 pairs at the threshold, of 4 to 160 shingles: each meets in a band and none is dropped by its estimate."""
+    rng = np.random.default_rng(11)
+    missed = dropped = 0
+    for n in range(4, 129, 4):
+        sets, sizes = [], []
+        for k in range(320):
+            both = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            more = rng.integers(0, 1 << 64, n // 4, dtype=np.uint64)
+            cut = len(more) * (k % 3) // 2  # the larger has all others, half of them or none
+            sets += [np.unique(np.concatenate([both, more[:cut]])), np.unique(np.concatenate([both, more[cut:]]))]
+        sizes = [len(s) for s in sets]
+        raw = neardup.sketches_of(sets, 80)
+        keys, who = neardup.keys_of(raw, sizes, 80)
+        own = [set() for _ in sets]
+        for key, k in zip(keys.tolist(), who.tolist(), strict=True):
+            own[k].add(key)
+        for k in range(0, len(sets), 2):
+            missed += not own[k] & own[k + 1]
+            a, b = (np.frombuffer(neardup.row_beside(raw[i], sizes[i], sizes[j], 80), np.uint16)[None] for i, j in ((k, k + 1), (k + 1, k)))
+            times = neardup.copies(min(max(sizes[k : k + 2]), neardup.FEW), 80)[0]
+            j, used = neardup.estimate(a, b, np.array([sizes[k] * times]), np.array([sizes[k + 1] * times]))
+            dropped += bool(j[0] < 0.8 - neardup.CUT * np.sqrt(0.16 / used[0]))
+    assert (missed, dropped) == (0, 0)
+
+
+def test_copies_of_small_sets():
+    """Any two sizes that may be linked have a number of copies in common: the larger one's own."""
+    for percent in (50, 80, 95):
+        for n in range(1, 200):
+            for m in range(n, n * 100 // percent + 1):
+                assert neardup.copies(m, percent)[0] in neardup.copies(n, percent)
+    assert neardup.copies(0, 80) == ()
