@@ -17,7 +17,8 @@ bucket's smallest id; linked documents are contracted to components; only in
 buckets that still hold several components are the documents outside the
 largest one compared with the rest, so no link between candidates that could
 join two components is left out.  In larger buckets that is done block against
-block inside a task, which returns only what may be a link.  A pair is estimated
+block inside a task, which returns only what may be a link; of links that are
+sure, only enough to join the same components.  A pair is estimated
 from registers first (agreement corrected for chance collisions) and dropped only
 far below the threshold; the others are confirmed on their full sets.
 
@@ -312,8 +313,26 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, percent: int)
     return by_join.union(by_block).distinct()
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The places of edges (a, b) between nodes 0, 1, ... that are enough to join what all of them join: fewer than the nodes."""
+    label, chosen, at = np.arange(int(max(a.max(), b.max())) + 1 if len(a) else 0), [np.empty(0, np.int64)], np.arange(len(a))
+    while True:
+        at = at[label[a[at]] != label[b[at]]]
+        if not len(at):
+            return np.concatenate(chosen)
+        x, y = label[a[at]], label[b[at]]
+        high, first = np.unique(np.maximum(x, y), return_index=True)  # each root hooks to a smaller one, so no circle closes
+        chosen.append(at[first])
+        up = np.arange(len(label))
+        up[high] = np.minimum(x, y)[first]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
 def block_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of an outsider and a member of one block pair that may be linked: exact where both sets are small, else estimated."""
+    """Pairs of an outsider and a member of one block pair that may be linked, by their estimate; of pairs of small sets,
+    whose links are known here, only as many as join the same components."""
     outside, ids, c, n = (table[x].to_numpy(zero_copy_only=False) for x in ("outside", "doc_id", "c", "n"))
     main = table["main"][0].as_py()
     xs, ms = np.flatnonzero(outside), np.flatnonzero(~outside)
@@ -325,7 +344,7 @@ def block_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     ok = (c[xs][:, None] != c[ms][None, :]) & ((c[ms] == main)[None, :] | (ids[ms][None, :] > ids[xs][:, None]))
     ok &= np.minimum(nx, nm) * 100 >= np.maximum(nx, nm) * percent
     both = is_small[xs][:, None] & is_small[ms][None, :]
-    hit = np.zeros_like(ok)
+    hit, linked = np.zeros_like(ok), np.zeros_like(ok)
     if (ok & both).any():
         sets = [np.frombuffer(small[k], np.uint64) if small[k] is not None else np.empty(0, np.uint64) for k in range(len(ids))]
         flat = np.concatenate(sets)
@@ -337,16 +356,23 @@ def block_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         flags = np.zeros((len(ids), int(often.sum())), np.float32)
         flags[row[keep], place[column[keep]]] = 1
         shared = np.rint(flags[xs] @ flags[ms].T).astype(np.int64)
-        hit |= ok & both & (100 * shared >= percent * (nx + nm - shared))
+        linked = ok & both & (100 * shared >= percent * (nx + nm - shared))
     if (ok & ~both).any():
         r = np.stack([np.frombuffer(x[-2 * BUCKETS :], np.uint16) for x in raw])  # both sets of such a pair have FEW shingles or more
+        key = np.int64(table["key"][0].as_py()).view(np.uint64)
+        bands = keys_of([x.tobytes() for x in r], [FEW] * len(r), percent)[0].reshape(len(r), -1)
+        here = (bands == key).any(axis=1)
         for k, x in enumerate(xs):
             at = np.flatnonzero(ok[k] & ~both[k])
             if len(at):
                 j, used = estimate(np.broadcast_to(r[x], (len(at), BUCKETS)), r[ms[at]], np.full(len(at), float(n[x])), n[ms[at]].astype(float))
                 t = percent / 100
-                hit[k, at] = j >= t - CUT * np.sqrt(t * (1 - t) / np.maximum(used, 1))
-    i, j = np.nonzero(hit)
+                first = bands[x, (bands[ms[at]] == bands[x]).argmax(axis=1)]
+                mine = (first == key) | ~here[x] | ~here[ms[at]]  # other buckets of a pair leave it to its first one
+                hit[k, at] = mine & (j >= t - CUT * np.sqrt(t * (1 - t) / np.maximum(used, 1)))
+    i, j = np.nonzero(linked)
+    enough = forest(*np.unique(np.concatenate([c[xs[i]], c[ms[j]]]), return_inverse=True)[1].reshape(2, -1))
+    i, j = (np.concatenate([x[enough], y]) for x, y in zip((i, j), np.nonzero(hit), strict=True))
     a, b = ids[xs[i]], ids[ms[j]]
     return np.minimum(a, b), np.maximum(a, b)
 

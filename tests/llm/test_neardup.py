@@ -105,3 +105,20 @@ def test_copies_of_small_sets():
             for m in range(n, n * 100 // percent + 1):
                 assert neardup.copies(m, percent)[0] in neardup.copies(n, percent)
     assert neardup.copies(0, 80) == ()
+
+
+def test_forest_joins_the_same_with_fewer_edges():
+    rng = np.random.default_rng(4)
+
+    def parts(edges, n):
+        up = list(range(n))
+        for a, b in edges:
+            x, y = up[a], up[b]
+            up = [min(x, y) if u in (x, y) else u for u in up]
+        return up
+
+    for n, m in ((1, 0), (30, 20), (40, 400), (60, 60)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        at = neardup.forest(a, b)
+        assert parts(zip(a, b, strict=True), n) == parts(zip(a[at], b[at], strict=True), n)
+        assert len(at) == n - len(set(parts(zip(a, b, strict=True), n)))
