@@ -26,7 +26,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), within=True)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

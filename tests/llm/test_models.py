@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from hornlog.llm import langid, lm_scoring, quality_clf, quality_rules
+from hornlog.llm import langid, lm_scoring, quality_clf, quality_rules, queries
 from hornlog.llm.common import Segments
 
 from . import brute
@@ -183,6 +183,145 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_lm_query_conditions_words_beyond_the_own_units(spark, tmp_path):
+    """Two words of one shared unit and one count: what went before tells them apart."""
+    L = lm_scoring
+    w = Segments([" ".join(f"w{a}{b}zz" for a in range(9) for b in range(9))], lower=True)
+    assert len(set(L.tail_units(w, np.arange(len(w.hash))).tolist())) == 1
+    common = " ".join(f"c{k}" for k in range(L.OWN)) + " "
+    rows = [(k, common * 4 + ("red w11zz " * 3 + "blue w22zz " * 3)) for k in range(200)]
+    rows += [(1_000, "red w11zz"), (1_001, "red w22zz"), (1_002, "blue w22zz"), (1_003, "blue w11zz")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query, units = (
+        {r["doc_id"]: r["score"] for r in df.where("doc_id >= 1000").collect()}
+        for df in (queries.op4_lm_scoring(spark, str(tmp_path)), L.score_texts(spark.read.parquet(f"{tmp_path}/documents.parquet")))
+    )
+    got = {i: query[i] - units[i] for i in query}  # without what the units' own history gives, the ends' included
+    counts = collections.Counter(x for i, t in rows if L.group_of(i) != L.ROUNDS for x in t.split())
+    own = sorted(counts, key=lambda x: -counts[x])[: L.OWN - 1]
+    assert abs(counts["w11zz"] - counts["w22zz"]) <= 2 and not {"w11zz", "w22zz"} & set(own)
+    assert got[1_000] > got[1_001] + 0.1 and got[1_002] > got[1_003] + 0.1
+
+
+def brute_paths(words):
+    """By halves of (word, mass) from the first on: each word's splits as (rank, right, mass right of it, mass left of it)."""
+    out = {w: [] for w, _ in words}
+
+    def halve(lo, hi):
+        if hi - lo < 2:
+            return
+        mass = lambda a, b: sum(m for _, m in words[a:b])
+        at = max(k for k in range(lo, hi) if mass(lo, k) <= mass(lo, hi) / 2)
+        at = max(at, lo + 1)
+        for k in range(lo, hi):
+            out[words[k][0]].append((at, k >= at, mass(at, hi), mass(lo, at)))
+        halve(lo, at)
+        halve(at, hi)
+
+    halve(0, len(words))
+    return out
+
+
+def test_lm_tree_against_brute_force():
+    """Every known word of every unit is reached by its own path, whose frequencies give the word's."""
+    L, rng = lm_scoring, np.random.default_rng(3)
+    sizes = {(L.OWN, 1): 37, (L.OWN, 2): 5, (L.OWN, 900): 1, (L.OWN + 3, 4): 1, (L.UNITS - 1, 7): 2, (L.UNITS - 1, 1): 300}
+    order = rng.permutation(len(sizes))
+    unit, c, m = np.array([(u, c, m) for (u, c), m in sizes.items()])[order].T
+    tree, base = L.Tree(unit, c, m), 0
+    for u in sorted(set(unit.tolist())):
+        words = [((c, k), c + 1) for (x, c), m in sorted(sizes.items(), key=lambda s: -s[0][1]) if x == u for k in range(m)]
+        want = brute_paths(words)
+        ranks = tree.ranks(np.full(len(words), u), np.array([c for (c, _), _ in words]), np.array([k for (_, k), _ in words]))
+        assert ranks.tolist() == list(range(base, base + len(words)))
+        starts, split, right, odds = tree.paths(ranks)
+        for k, (w, mass) in enumerate(words):
+            mine = slice(starts[k], starts[k + 1])
+            assert [(int(a) - base, bool(b)) for a, b in zip(split[mine], right[mine])] == [x[:2] for x in want[w]]
+            assert np.allclose(odds[mine], [math.log(x[2] / x[3]) for x in want[w]])
+            p = np.prod(1 / (1 + np.exp(np.where(right[mine], -odds[mine], odds[mine]))))
+            assert math.isclose(p, mass / sum(m for _, m in words), rel_tol=1e-5)
+        base += len(words)
+
+
+def test_lm_within_against_brute_force_and_layouts(spark, small, monkeypatch):
+    """What the splits add to the model that test_lm_score_against_brute_force_and_layouts goes over, by loops; only hashes and slots are the operator's."""
+    L = lm_scoring
+    monkeypatch.setattr(L, "BUCKET_TOKENS", 500)
+    monkeypatch.setattr(L, "PACKED_ROWS", 700)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rows = [r for r in rows if len(r[1] or "") < 1500] + [(90_001, None), (90_003, "odd " * 300), (90_003, "odd " * 300), (90_004, "unseen1 unseen2")]
+    seqs, counts, hash_of, tail_of = [], collections.Counter(), {}, {}
+    for i, t in rows:
+        w = Segments([t], lower=True)
+        words = brute.words(t, True)
+        seqs.append((i, words, w.hash))
+        hash_of.update(zip(words, w.hash.view(np.int64).tolist()))
+        tail_of.update(zip(words, L.tail_units(w, np.arange(len(words))).tolist()))
+        if L.group_of(i) != L.ROUNDS:
+            counts.update(words)
+    buckets = 1 + (sum(counts.values()) + sum(L.group_of(i) != L.ROUNDS for i, *_ in seqs)) // 500
+    assert buckets > 3
+    own = set(sorted(counts, key=lambda w: (-counts[w], hash_of[w]))[: L.OWN - 1])
+    in_row = sorted((w for w in counts if w not in own), key=lambda w: (tail_of[w], -counts[w], hash_of[w] % buckets, hash_of[w]))
+    paths, base = {}, 0
+    for u in sorted({tail_of[w] for w in in_row}):
+        mine = [(w, counts[w] + 1) for w in in_row if tail_of[w] == u]
+        paths |= {w: [(base + a, *rest) for a, *rest in p] for w, p in brute_paths(mine).items()}
+        base += len(mine)
+    bits = min(L.MOST_SLOT_BITS, max(L.LEAST_SLOT_BITS, math.ceil(math.log2(max(1, (len(counts) + 1) / L.WORDS_A_SLOT)))))
+    pairs = L.SPLIT_SLOTS << bits
+    weights = collections.defaultdict(float)
+
+    def steps(words, h):
+        """(right, odds, slots) of each split of each word"""
+        s = L.Sequences(np.arange(len(words)), np.array([len(words)]), h, np.zeros(len(words), np.int64))
+        for k, w in enumerate(words):
+            for at, right, above, below in paths.get(w, ()):
+                salt = L.mix64(np.array([at], np.uint64)) >> np.uint64(32)
+                slots = [L.split_slots((f[k : k + 1] >> np.uint64(32)).astype(np.uint32), salt.astype(np.uint32), pairs) for f in s.features]
+                yield right, math.log(above / below), [int(x[0]) for x in slots]
+
+    def chance(odds, slots):
+        return 1 / (1 + math.exp(-odds - sum(weights[x, 1] - weights[x, 0] for x in slots)))
+
+    for r in range(L.ROUNDS):
+        sums = collections.defaultdict(lambda: [0.0, 0.0])
+        for i, words, h in seqs:
+            if L.group_of(i) == r:
+                for right, odds, slots in steps(words, h):
+                    p = chance(odds, slots)
+                    for x in slots:
+                        sums[x, int(right)][0] += 1
+                        sums[x, 1][1] += p
+                        sums[x, 0][1] += 1 - p
+        for at, (o, e) in sums.items():
+            weights[at] += L.RATE / 3 * (o - e) / ((o + e) / 2 + L.DAMPING)
+    want = []
+    for i, words, h in seqs:
+        got = sum(math.log10(p if right else 1 - p) for right, p in ((right, chance(odds, slots)) for right, odds, slots in steps(words, h)))
+        want.append((i, got - sum(math.log10(p if right else 1 - p) for w in words for right, p in ((right, a / (a + b)) for _, right, a, b in paths.get(w, ())))))
+    assert max(abs(x) for _, x in want) > 0.1
+    plain, one = lm_rows(spark, rows, 1), lm_rows(spark, rows, 1, within=True)
+    assert [x[0] for x in one] == [x[0] for x in sorted(want)]
+    assert max(abs(a[1] - b[1] - c[1]) for a, b, c in zip(one, plain, sorted(want))) < 0.01  # probabilities are summed in steps of 1 / ONE
+    assert max(abs(a[1] - b[1]) for a, b in zip(one, lm_rows(spark, rows, 8, block_bytes=20_000, within=True))) < 1e-6
+
+
+def test_lm_split_probabilities_sum_to_one():
+    """After any history, the known words of a unit have all of its known mass, whatever the weights."""
+    L, rng = lm_scoring, np.random.default_rng(4)
+    tree = L.Tree(np.array([L.OWN, L.OWN]), np.array([1, 6]), np.array([60, 3]))
+    model = L.Model.start(1000, [], {L.OWN: (78, 63)}, 3, tree, within=True)
+    model.weights = tuple(rng.normal(0, 1, w.shape).astype(np.float32) for w in model.weights)
+    s = L.Sequences(np.arange(63), np.array([63]), rng.integers(0, 1 << 60, 63).astype(np.uint64), np.full(63, L.OWN))
+    for f in s.features:
+        f[:] = f[5]  # the same history before all 63 words
+    score = model.of_words(np.log10(np.array([7.0] * 3 + [2.0] * 60 + [1.0])), s.unit + np.where(s.is_word, 0, L.OWN))
+    L.Splits(s, model, np.arange(63), L.Paths(tree, np.arange(63))).add_scores(score)
+    assert np.isclose((10 ** score).sum(), 1) and np.ptp(score[3:63]) > 0.1  # the last is the unknown words' mass
+
+
 def test_quality_classifier(spark, documents, labels):
     got = quality_clf.classify(documents, labels).collect()
     rows = documents.select("doc_id").collect()
