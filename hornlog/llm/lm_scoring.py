@@ -34,11 +34,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -531,27 +532,40 @@ def _numbered(blocks: DataFrame, ranks: DataFrame, model: Model) -> DataFrame:
     return materialize(left.cogroup(ranks.groupBy("block")).applyInArrow(run, NUMBERED), "lm-numbered")
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """In here a query's shuffle files go as it ends.  Spark's listeners keep the last query's plan, so without this they stay through the next, whatever garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def score_texts(documents: DataFrame, block_bytes: int = BLOCK_BYTES, within: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text; ``within``: by history within shared units too."""
     spark = documents.sparkSession
-    blocks = _blocks(pick(documents, "doc_id", "text"), block_bytes)
-    words = _words(blocks)
-    totals = materialize(words.groupBy("h").agg(F.sum("c").alias("c"), F.min("tail").alias("tail")), "lm-totals")
-    sizes = blocks.agg(F.sum("n_train").alias("n"), F.sum("train_docs").alias("d")).first()
-    n, docs = sizes["n"] or 0, sizes["d"] or 0
-    tails = {r["tail"]: (r["n"], r["v"]) for r in totals.where("c > 0").groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    v = sum(x for _, x in tails.values()) + (docs > 0)
-    own = [(r["h"], r["c"], r["tail"]) for r in totals.where("c > 0").orderBy(F.desc("c"), "h").limit(OWN - 1).collect()]
-    places, tree = _ranks(totals, [h for h, _, _ in own], n)
-    ranks = materialize(_by_block(words.select("h", "block", "number").join(places, "h").select("block", "number", "rank")), "lm-ranks")
-    discard(totals)
-    model = Model.start(v, own, tails, docs, tree, within)
-    numbered = _numbered(blocks, ranks, model)
-    discard(blocks)
-    discard(ranks)
-    for part in range(ROUNDS):
-        model = _round(numbered, model, part)
-        collect_garbage(spark)
+    with dropping_shuffles(spark):
+        blocks = _blocks(pick(documents, "doc_id", "text"), block_bytes)
+        words = _words(blocks)
+        totals = materialize(words.groupBy("h").agg(F.sum("c").alias("c"), F.min("tail").alias("tail")), "lm-totals")
+        sizes = blocks.agg(F.sum("n_train").alias("n"), F.sum("train_docs").alias("d")).first()
+        n, docs = sizes["n"] or 0, sizes["d"] or 0
+        tails = {r["tail"]: (r["n"], r["v"]) for r in totals.where("c > 0").groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+        v = sum(x for _, x in tails.values()) + (docs > 0)
+        own = [(r["h"], r["c"], r["tail"]) for r in totals.where("c > 0").orderBy(F.desc("c"), "h").limit(OWN - 1).collect()]
+        places, tree = _ranks(totals, [h for h, _, _ in own], n)
+        ranks = materialize(_by_block(words.select("h", "block", "number").join(places, "h").select("block", "number", "rank")), "lm-ranks")
+        discard(totals)
+        model = Model.start(v, own, tails, docs, tree, within)
+        numbered = _numbered(blocks, ranks, model)
+        discard(blocks)
+        discard(ranks)
+        for part in range(ROUNDS):
+            model = _round(numbered, model, part)
+            collect_garbage(spark)
     held = spark.sparkContext.broadcast(model)
     arrow = to_arrow_schema(_parse_datatype_string(SCORED))
 

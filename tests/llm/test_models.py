@@ -2,7 +2,9 @@
 
 import collections
 import math
+import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -308,6 +310,32 @@ def test_lm_within_against_brute_force_and_layouts(spark, small, monkeypatch):
     assert max(abs(a[1] - b[1]) for a, b in zip(one, lm_rows(spark, rows, 8, block_bytes=20_000, within=True))) < 1e-6
 
 
+def test_lm_steps_leave_no_shuffle_files(spark, small, monkeypatch):
+    """Before the blocks are numbered and before each round, nothing that earlier steps shuffled is on disk any more."""
+    L, name = lm_scoring, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    tops = [x.getPath() for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {x for top in tops for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+    others, left, conf = files(), {}, spark.conf.get(name, None)
+
+    def watched(step):
+        run = getattr(L, step)
+
+        def after_waiting(*args):
+            end = time.time() + 10  # files go in the background
+            while files() - others and time.time() < end:
+                time.sleep(0.1)
+            left[step, args[2] if step == "_round" else 0] = len(files() - others)
+            return run(*args)
+
+        monkeypatch.setattr(L, step, after_waiting)
+
+    watched("_numbered")
+    watched("_round")
+    df = L.score_texts(spark.read.parquet(f"{small}/documents.parquet"), within=True)
+    assert left == {("_numbered", 0): 0} | {("_round", k): 0 for k in range(L.ROUNDS)}
+    assert spark.conf.get(name, None) == conf and df.count() == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
 def test_lm_split_probabilities_sum_to_one():
     """After any history, the known words of a unit have all of its known mass, whatever the weights."""
     L, rng = lm_scoring, np.random.default_rng(4)
