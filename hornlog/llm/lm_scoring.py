@@ -53,8 +53,8 @@ OWN = UNITS // 2
 LEAST_SLOT_BITS, MOST_SLOT_BITS, WORDS_A_SLOT = 8, 13, 64
 ROUNDS, RATE, DAMPING = 3, 1.5, 16.0
 FOLDS, HELD_OUT = 7, 2
-#: Text of a block, which is one row, and tokens in one step of numpy.
-BLOCK_BYTES, BATCH = 8 << 20, 1 << 15
+#: Text of a block, which is one row, and tokens in one step of numpy, whose arrays then stay in a core's cache.
+BLOCK_BYTES, BATCH = 8 << 20, 1 << 13
 #: Words are numbered in buckets, one for so many tokens; a bucket's words of one count and unit are one sort.
 BUCKET_TOKENS = 1 << 20
 #: Slots of the splits for each slot of the classes, and ranks that are packed at once.
@@ -426,8 +426,8 @@ class Splits:
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
         """Some tokens and their numbers of splits; and whether right, slots and log odds of the right half of each split."""
-        for a in range(0, len(self.tokens), BATCH // 2):
-            tokens, word = self.tokens[a : a + BATCH // 2], self.word[a : a + BATCH // 2]
+        for a in range(0, len(self.tokens), BATCH):
+            tokens, word = self.tokens[a : a + BATCH], self.word[a : a + BATCH]
             n = self.starts[word + 1] - self.starts[word]
             at = np.arange(n.sum()) + np.repeat(self.starts[word] - (np.cumsum(n) - n), n)
             salt, z = self.salt[at], self.odds[at]
@@ -439,15 +439,17 @@ class Splits:
     def count(self, observed: np.ndarray, expected: np.ndarray) -> None:
         """Add the counts of all features, in ``ONE``ths, to tables of (lanes, slots)."""
         o, e = observed.reshape(2, -1), expected.reshape(2, -1)
+        found, above = np.zeros(2 * self.pairs), np.zeros(self.pairs)
         for _, _, right, slots, z in self:
             p = np.rint(np.float32(ONE) / (1 + np.exp(-z))).astype(np.float64)
             side = right * self.pairs
             for x in slots:
-                found = np.bincount(x + side, minlength=2 * self.pairs).reshape(2, -1) * ONE
-                above = np.bincount(x, weights=p, minlength=self.pairs)
-                o += found
-                e[1] += above
-                e[0] += found[0] + found[1] - above
+                np.add.at(found, x + side, float(ONE))
+                above += np.bincount(x, weights=p, minlength=self.pairs)
+        found = found.reshape(2, -1)
+        o += found
+        e[1] += above
+        e[0] += found[0] + found[1] - above
 
     def add_scores(self, score: np.ndarray) -> None:
         """Add each word's log10 probability among the known words of its unit."""
@@ -466,13 +468,17 @@ def feature_counts(s: Sequences, model: Model, observed: list[np.ndarray], expec
     for a in range(0, len(s.unit), BATCH):
         b = min(len(s.unit), a + BATCH)
         for t, (what, slots) in enumerate(s.slots(a, b, model.bits)):
-            rows, lanes = model.weights[t].shape
+            rows, found = len(model.weights[t]), observed[t].reshape(-1)
             p, _ = probabilities(model.weights[t], slots)
-            p = np.rint(p * np.float32(ONE)).astype(np.float64)
+            p *= np.float32(ONE)
+            p = np.rint(p, out=p).astype(np.float64)
             for x in slots:
-                observed[t] += np.bincount(what * rows + x, minlength=rows * lanes).reshape(lanes, rows) * ONE
-                for k in range(lanes):  # a lane at a time is several times faster than all at once
-                    expected[t][k] += np.bincount(x, weights=p[k], minlength=rows)
+                np.add.at(found, what * rows + x, float(ONE))
+            if t == 0:  # the classes' bias is one slot
+                expected[t][:, slots.pop()[0]] += p.sum(axis=1)
+            for x in slots:
+                for k, lane in enumerate(p):  # a lane at a time is several times faster than all at once
+                    expected[t][k] += np.bincount(x, weights=lane, minlength=rows)
 
 
 def _round(blocks: DataFrame, model: Model, part: int) -> Model:
