@@ -255,25 +255,26 @@ class Tree:
     def paths(self, rank: np.ndarray, name: Callable[[np.ndarray], np.ndarray] = np.asarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For words by rising rank: where each one's splits begin; and per split its rank (by another name), whether the word is right of it, and the log odds of that half."""
         unit = self.unit[np.searchsorted(self.start, rank, "right") - 1]
+        first = np.flatnonzero(np.diff(unit, prepend=-1))  # words that one half holds are a run
+        end, unit = np.append(first[1:], len(rank)), unit[first]
         lo, hi = self.start[self.first[unit]], self.start[self.first[unit + 1]]
         low, high = self.mass[self.first[unit]], self.mass[self.first[unit + 1]]
-        live, depth, levels = np.arange(len(rank)), np.zeros(len(rank), np.int64), []
+        depth, levels = np.zeros(len(rank), np.int64), []
         while True:
-            more = hi - lo > 1
-            if not more.all():
-                live, rank, lo, hi, low, high = (x[more] for x in (live, rank, lo, hi, low, high))
-            if not len(live):
+            more = np.flatnonzero((hi - lo > 1) & (end > first))
+            first, end, lo, hi, low, high = (x[more] for x in (first, end, lo, hi, low, high))
+            if not len(first):
                 break
-            depth[live] += 1
             half = (low + high) >> 1
             k = np.searchsorted(self.mass, half, "right") - 1
             start, mass, each = self.start[k], self.mass[k], self.c[k] + 1
             at = np.maximum(start + (half - mass) // each, lo + 1)
             middle = mass + (at - start) * each
-            right = rank >= at
-            levels.append((live.astype(np.int32), name(at), right, np.log((high - middle) / (middle - low)).astype(np.float32)))
-            lo, low = np.where(right, at, lo), np.where(right, middle, low)
-            hi, high = np.where(right, hi, at), np.where(right, high, middle)
+            border, n = np.searchsorted(rank, at), end - first
+            live = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            depth[live] += 1
+            levels.append((live.astype(np.int32), np.repeat(name(at), n), live >= np.repeat(border, n), np.repeat(np.log((high - middle) / (middle - low)).astype(np.float32), n)))
+            first, end, lo, hi, low, high = (np.stack(x, 1).ravel() for x in ((first, border), (border, end), (lo, at), (at, hi), (low, middle), (middle, high)))
         starts = np.concatenate([[0], np.cumsum(depth)])
         split, side, odds = (np.empty(starts[-1], kind) for kind in (name(np.empty(0, np.int64)).dtype, bool, np.float32))
         for level in range(len(levels)):
@@ -380,18 +381,28 @@ class Sequences:
         return [(cls, [*of_class, np.full(b - a, 1 << bits)]), (member, [*of_member, (1 << bits) + cls])]
 
 
-def probabilities(weights: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(lanes, tokens): softmax of each token's logits, and those logits less their log sum."""
+def exponentials(weights: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lanes, tokens): each token's logits less their largest, and their powers of e; and the sums of these."""
     z = np.take(weights, slots[0], axis=0)
+    more = np.empty_like(z)
     for s in slots[1:]:
-        z += np.take(weights, s, axis=0)
+        z += np.take(weights, s, axis=0, out=more, mode="clip")  # no slot is out of range
     z = np.ascontiguousarray(z.T)
     z -= z.max(axis=0)
     p = np.exp(z)
-    total = p.sum(axis=0)
-    p /= total
-    z -= np.log(total)
-    return p, z
+    return z, p, p.sum(axis=0)
+
+
+def probabilities(weights: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(lanes, tokens): softmax of each token's logits, and those logits less their log sum."""
+    z, p, total = exponentials(weights, slots)
+    return p / total, z - np.log(total)
+
+
+def log_probability(weights: np.ndarray, slots: list[np.ndarray], what: np.ndarray) -> np.ndarray:
+    """Of each token's own lane, as ``probabilities`` has it."""
+    z, _, total = exponentials(weights, slots)
+    return z[what, np.arange(len(what))] - np.log(total)
 
 
 class Paths:
@@ -426,8 +437,8 @@ class Splits:
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
         """Some tokens and their numbers of splits; and whether right, slots and log odds of the right half of each split."""
-        for a in range(0, len(self.tokens), BATCH):
-            tokens, word = self.tokens[a : a + BATCH], self.word[a : a + BATCH]
+        for a in range(0, len(self.tokens), BATCH // 4):
+            tokens, word = self.tokens[a : a + BATCH // 4], self.word[a : a + BATCH // 4]
             n = self.starts[word + 1] - self.starts[word]
             at = np.arange(n.sum()) + np.repeat(self.starts[word] - (np.cumsum(n) - n), n)
             salt, z = self.salt[at], self.odds[at]
@@ -445,7 +456,7 @@ class Splits:
             side = right * self.pairs
             for x in slots:
                 np.add.at(found, x + side, float(ONE))
-                above += np.bincount(x, weights=p, minlength=self.pairs)
+                np.add.at(above, x, p)
         found = found.reshape(2, -1)
         o += found
         e[1] += above
@@ -469,7 +480,8 @@ def feature_counts(s: Sequences, model: Model, observed: list[np.ndarray], expec
         b = min(len(s.unit), a + BATCH)
         for t, (what, slots) in enumerate(s.slots(a, b, model.bits)):
             rows, found = len(model.weights[t]), observed[t].reshape(-1)
-            p, _ = probabilities(model.weights[t], slots)
+            _, p, total = exponentials(model.weights[t], slots)
+            p /= total
             p *= np.float32(ONE)
             p = np.rint(p, out=p).astype(np.float64)
             for x in slots:
@@ -592,8 +604,7 @@ def score_texts(documents: DataFrame, block_bytes: int = BLOCK_BYTES, within: bo
                 for a in range(0, len(c), BATCH):
                     b = min(len(c), a + BATCH)
                     for t, (what, slots) in enumerate(s.slots(a, b, model.bits)):
-                        _, z = probabilities(model.weights[t], slots)
-                        score[a:b] += z[what, np.arange(b - a)].astype(np.float64) / np.log(10)
+                        score[a:b] += log_probability(model.weights[t], slots, what).astype(np.float64) / np.log(10)
                 if within:
                     Splits(s, model, tokens, paths).add_scores(score)
                 yield pa.RecordBatch.from_arrays(
