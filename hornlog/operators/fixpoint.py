@@ -9,13 +9,17 @@ with few candidates looks them up in it by a broadcast, instead of shuffling it
 
 A closure by one linear rule over two columns is squared: round k joins what is
 reached so far with the pairs that are 2**k steps apart, so a chain of n steps takes
-log n rounds.  Where degrees tell that squaring would derive many times more rows
+log n rounds.  A closure by R(x, y), R(y, z) is one by a linear rule.  Where degrees tell that squaring would derive many times more rows
 than it keeps, as in dense graphs, the loop goes on step by step.
+
+Before all that, loops over pairs of numbers are evaluated apart for each connected part
+of their relations that fits one task (``local``); the rounds get the rows of the others.
 """
 
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from ..lang.ast import Atom, Expr, Program, Rule, Var
 from ..lang.diagnostics import Diagnostic, Location
 from ..plans.stratify import Stratum
+from . import local
 from .context import Evaluation, wrapping
 from .rules import RulePlan, aggregate, cells
 
@@ -117,12 +122,13 @@ class Interpreter:
         if any(s and s[1].op in ("count", "sum") for s in shapes.values()):
             self._naive(stratum, heads)
             return
+        stratum, given = self._one_sided(stratum)
         full: dict[str, list[DataFrame]] = {h: [self.run.cut(self.state(h).distinct() if h in self.given else self.state(h))] for h in heads}
         old = {h: self.empty(h) for h in heads}
         delta = {h: full[h][0] for h in heads}
         rows = {h: delta[h].count() for h in heads}
         alive = {h: rows[h] > 0 for h in heads}
-        fixed: dict[str, DataFrame] = {}
+        fixed: dict[str, DataFrame] = {given: full[heads[0]][0]} if given else {}
 
         def whole(h: str) -> DataFrame:
             """All rows of a relation so far; of an aggregated one each key's best."""
@@ -137,6 +143,17 @@ class Interpreter:
 
         for a in {a.relation for r in stratum.rules for a in [*r.atoms(), *r.negated()]} - set(heads):
             constant(a)
+        apart: dict[str, list[DataFrame]] = {h: [] for h in heads}  # rows that the rounds below need not see
+        if any(alive.values()) and (found := local.numbered(stratum.rules, heads, self.program)):
+            self._round()
+            tables = {n: full[n][0] if n in full else constant(n) for n in found[1]}
+            rest = self._apart(*found, tables, apart)
+            for h in heads:
+                full[h] = [rest[h]] if rest else [self.empty(h)]
+                delta[h] = full[h][0]
+                rows[h] = delta[h].count() if rest else 0
+                alive[h] = rows[h] > 0
+            fixed.update({n: df for n, df in (rest or {}).items() if n not in heads})
         if any(alive.values()) and (linear := self._linear(stratum)):
             full[heads[0]], ended = self._square(full[heads[0]], constant(linear[0]), linear[1])
             alive[heads[0]] = not ended
@@ -182,7 +199,7 @@ class Interpreter:
                         full[h] = [self.run.cut(whole(h))]
         for h in heads:
             with wrapping(self.spark):
-                self.states[h] = whole(h)
+                self.states[h] = _union([whole(h), *apart[h]] if rows[h] or not apart[h] else apart[h])
             if shapes[h]:
                 self.raw[h] = self.states[h]
 
@@ -208,6 +225,33 @@ class Interpreter:
         wins = F.col(value) < F.col("known") if agg.op == "min" else F.col(value) > F.col("known")
         return self.run.cut(best.join(known, keys, "left").where(F.col("known").isNull() | wins).select(*names))
 
+    def _apart(self, rules: list[local.Numbered], names: list[str], tables: dict[str, DataFrame], apart: dict[str, list[DataFrame]]) -> dict[str, DataFrame] | None:
+        """Fills ``apart`` with what holds for connected parts that one task can evaluate; returns the tables' other rows, if any."""
+        known = [tables[n].where("c0 is not null and c1 is not null").select(F.lit(k).alias("k"), F.col("c0").alias("a"), F.col("c1").alias("b")) for k, n in enumerate(names)]
+        heads = list(apart)
+        n = sum(tables[x].count() for x in names)
+        small, large = local.parts(self.run, _union(known), n)
+        new = local.added(self.run, small, n, rules, len(heads))
+
+        def of(df: DataFrame, k: int) -> DataFrame:
+            return df.where(F.col("k") == k).select(F.col("a").alias("c0"), F.col("b").alias("c1"))
+
+        for k, h in enumerate(heads):
+            apart[h] += [of(new, k), tables[h] if large is None else of(small, k).union(tables[h].where("c0 is null or c1 is null"))]
+        return None if large is None else {x: self.run.cut(of(large, k)) for k, x in enumerate(names)}
+
+    def _one_sided(self, stratum: Stratum) -> tuple[Stratum, str | None]:
+        """R(x, z) :- R(x, y), R(y, z) derives what R(x, z) :- R(x, y), G(y, z) does, where G, named too, is R before the loop."""
+        rule = stratum.rules[0]
+        name, atoms = rule.head.relation, rule.atoms()
+        if len(stratum.rules) == 1 and len(atoms) == 2 and all(a.relation == name for a in atoms):
+            given = f"{name} given"  # no relation of a program has a space in its name
+            body = [replace(p, relation=given) if p is atoms[1] else p for p in rule.body]
+            once = Stratum([replace(rule, body=body)], True)
+            if self._linear(once) == (given, True):
+                return once, given
+        return stratum, None
+
     def _linear(self, stratum: Stratum) -> tuple[str, bool] | None:
         """(E, whether the rule is R(x, z) :- R(x, y), E(y, z)) if that, or its mirror image, is all the stratum has."""
         if len(stratum.rules) != 1:
