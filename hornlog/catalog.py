@@ -189,14 +189,13 @@ def symbol_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why the smallest edge is in a closure, and why its first node reaches as many as it does."""
-    from .engine import EvaluationOptions
-
     text = ".in .decl Deep(x: number, y: number) .out .decl T(x: number, y: number) .decl N(x: number, n: number) T(x, y) :- Deep(x, y). T(x, z) :- T(x, y), Deep(y, z). N(x, count(y)) :- T(x, y)."
     given = frames(spark, sf_dir, ["Deep"])
     engine = Engine(spark)
     edge = given["Deep"].orderBy("x", "y").first()
-    asked = [("T", list(edge))] + [("N", list(r)) for r in engine.query(text, given)["N"].where(F.col("x") == edge["x"]).collect()]
-    found = engine.evaluate(text, frames=given, options=EvaluationOptions(explain=asked)).witnesses
+    result = engine.evaluate(text, frames=given)
+    asked = [("T", list(edge))] + [("N", list(r)) for r in result.relations["N"].where(F.col("x") == edge["x"]).collect()]
+    found = engine.explain(result, asked)
     shown = lambda row: ",".join(map(str, row))
     rows = [(w["relation"], shown(w["row"]), w["rule"], ";".join(shown(p["row"]) for p in w["parents"])) for w in found]
     return spark.createDataFrame(rows, "relation string, row string, rule bigint, parents string")

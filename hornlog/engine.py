@@ -48,6 +48,7 @@ class Result:
     stats: dict
     witnesses: list[dict] = field(default_factory=list)
     sizes: dict[str, int] = field(default_factory=dict)
+    states: dict[str, DataFrame] = field(default_factory=dict)  # the relations with columns c0, c1, ...
 
     def declared(self) -> dict[str, DataFrame]:
         return {d.name: self.relations[d.name] for d in self.program.outputs() if d.name in self.relations}
@@ -90,7 +91,7 @@ class Engine:
         program, strata = self.prepare(text, name)
         run = Evaluation(self.spark, program, Limits(), self.config.max_rounds)
         with run.watched():
-            states = self._interpret(run, program, strata, from_frames(program, frames))
+            states = self._interpret(run, program, strata, from_frames(program, frames)).states
         return self._named(program, states)
 
     def evaluate(self, text: str, rows: dict | None = None, frames: dict[str, DataFrame] | None = None, facts: str | None = None, options: EvaluationOptions | None = None, name: str = "program") -> Result:
@@ -111,13 +112,15 @@ class Engine:
                     given |= from_rows(self.spark, program, rows or {})
                     planned = time.monotonic()
                     run.phase = "evaluating"
-                    states = self._interpret(run, program, strata, given)
+                    inter = self._interpret(run, program, strata, given)
+                    states = inter.states
                     executed = time.monotonic()
                     run.phase = "settling"
                     sizes = {}
                     for relation in sorted(states):
                         if relation in program.heads():
-                            states[relation] = run.cut(states[relation])
+                            if relation not in inter.written:
+                                states[relation] = run.cut(states[relation])
                             sizes[relation] = states[relation].count()
                             run.count(sizes[relation])
                     settled = time.monotonic()
@@ -133,9 +136,9 @@ class Engine:
         }
         if options.profile_path:
             run.profile("done", sizes=sizes, stats=stats)
-        return Result(program, self._named(program, states), stats, witnesses, sizes)
+        return Result(program, self._named(program, states), stats, witnesses, sizes, states)
 
-    def _interpret(self, run: Evaluation, program: Program, strata: list[Stratum], given: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def _interpret(self, run: Evaluation, program: Program, strata: list[Stratum], given: dict[str, DataFrame]) -> Interpreter:
         inter = Interpreter(run, program, given, self.config.opt_level, self.config.sharing)
         for decl in program.inputs():
             inter.state(decl.name)
@@ -144,7 +147,7 @@ class Engine:
                 if relation not in program.heads():
                     inter.state(relation)
         inter.evaluate(strata)
-        return inter.states
+        return inter
 
     def _named(self, program: Program, states: dict[str, DataFrame]) -> dict[str, DataFrame]:
         heads = set(program.heads())
@@ -161,6 +164,10 @@ class Engine:
                     asked += [(d.name, list(r) if program.types[d.name] else []) for r in states[d.name].toLocalIterator()]
         return [explainer.witness(n, r) for n, r in asked]
 
+    def explain(self, result: Result, asked: list[tuple[str, list]]) -> list[dict]:
+        """Witnesses of rows of a result, which need not be known before it is evaluated."""
+        return self._explain(result.program, result.states, EvaluationOptions(explain=asked))
+
     def status(self) -> dict:
         with self._lock:
             return {"running": self._running, "completed": self._completed, "max_concurrent": self.config.max_concurrent}

@@ -24,7 +24,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lang.ast import Atom, Expr, Program, Rule, Var
+from ..lang.ast import Agg, Atom, Expr, Program, Rule, Var
 from ..lang.diagnostics import Diagnostic, Location
 from ..plans.stratify import Stratum
 from . import local
@@ -55,6 +55,7 @@ class Interpreter:
         self.given = set(facts)  # may still hold a row twice
         self.raw: dict[str, DataFrame] = {}  # head rows of aggregated relations, before aggregation
         self.facts_of: dict[str, DataFrame] = {}  # given rows of aggregated relations
+        self.written: set[str] = set()  # relations whose rows are read from written tables
         self.readers: dict[str, int] = {}
         for r in program.rules:
             for a in [*r.atoms(), *r.negated()]:
@@ -73,6 +74,12 @@ class Interpreter:
             self.states[name] = self.empty(name)
         return self.states[name]
 
+    def _cut(self, name: str) -> DataFrame:
+        """The relation, a set, as a written table."""
+        if name in self.written:
+            return self.state(name)
+        return self.run.cut(self.state(name).distinct() if name in self.given else self.state(name))
+
     def evaluate(self, strata: list[Stratum]) -> None:
         for stratum in strata:
             self.run.check()
@@ -84,14 +91,24 @@ class Interpreter:
     def plan(self, rule: Rule) -> RulePlan:
         return RulePlan(rule, self.program.functions, self.optimize)
 
-    def _settled(self, name: str, new: list[DataFrame]) -> DataFrame:
-        """The relation after new head rows: a set, aggregated over the union of all its rules' rows."""
+    def _keeps_rows(self, rule: Rule) -> bool:
+        """Whether the head rows are distinct because they keep all columns of one derived relation, which is a set."""
+        atoms, kept = rule.atoms(), [a.expr if isinstance(a, Agg) else a for a in rule.head.args]
+        if len(atoms) != 1 or atoms[0].relation not in self.shape or rule.calls() or not all(isinstance(x, Var) for x in atoms[0].args):
+            return False
+        return len(set(atoms[0].args)) == len(atoms[0].args) and set(atoms[0].args) <= {e.first for e in kept if not e.rest}
+
+    def _settled(self, name: str, new: list[DataFrame], sets: bool = False) -> DataFrame:
+        """The relation after new head rows (``sets``: all distinct): a set, aggregated over the union of all its rules' rows."""
         shape = self.shape[name]
         if shape:
+            sets = sets and name not in self.raw
             rows = _union([self.raw[name], *new] if name in self.raw else new)
             self.raw[name] = rows
-            out = aggregate(rows, shape[0], shape[1].op, self.arity(name))
+            out = aggregate(rows, shape[0], shape[1].op, self.arity(name), sets)
             return out if name not in self.facts_of else out.union(self.facts_of[name]).distinct()
+        if sets and name not in self.states:
+            return new[0]
         return _union([self.states[name], *new] if name in self.states else new).distinct()
 
     def _plain(self, stratum: Stratum) -> None:
@@ -108,9 +125,11 @@ class Interpreter:
                     plan = self.plan(r)
                     strict |= plan.strict()
                     parts.append(plan.rows(lambda a, _: self.state(a.relation)))
-                df = self._settled(name, parts)
+                df = self._settled(name, parts, len(rules) == 1 and self._keeps_rows(rules[0]))
+            self.written.discard(name)
             if strict or (self.share and self.readers.get(name, 0) > 1):
                 df = self.run.cut(df)
+                self.written.add(name)
             out[name] = df
             for r in rules:
                 self.run.rule_seconds[r.number] = self.run.rule_seconds.get(r.number, 0) + (time.monotonic() - began) / len(rules)
@@ -123,7 +142,7 @@ class Interpreter:
             self._naive(stratum, heads)
             return
         stratum, given = self._one_sided(stratum)
-        full: dict[str, list[DataFrame]] = {h: [self.run.cut(self.state(h).distinct() if h in self.given else self.state(h))] for h in heads}
+        full: dict[str, list[DataFrame]] = {h: [self._cut(h)] for h in heads}
         old = {h: self.empty(h) for h in heads}
         delta = {h: full[h][0] for h in heads}
         rows = {h: delta[h].count() for h in heads}
@@ -138,7 +157,7 @@ class Interpreter:
         def constant(name: str) -> DataFrame:
             """What the loop reads but does not change is computed once."""
             if name not in fixed:
-                fixed[name] = self.run.cut(self.state(name))
+                fixed[name] = self.state(name) if name in self.written else self.run.cut(self.state(name))
             return fixed[name]
 
         for a in {a.relation for r in stratum.rules for a in [*r.atoms(), *r.negated()]} - set(heads):
@@ -202,6 +221,8 @@ class Interpreter:
                 self.states[h] = _union([whole(h), *apart[h]] if rows[h] or not apart[h] else apart[h])
             if shapes[h]:
                 self.raw[h] = self.states[h]
+            else:
+                self.written.add(h)
 
     def _new(self, name: str, produced: list[DataFrame], everything: DataFrame, n: int) -> DataFrame:
         """What of the head rows is not in ``everything``, which has n rows."""

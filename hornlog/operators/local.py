@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ..lang.ast import NUMBER, Atom, Expr, Program, Rule, Var
 from .context import Evaluation
 
-#: Rows that a task labels together, and edges between names that one task labels.
-CHUNK, ONE = 1_000_000, 500_000
+#: Rows that a task labels together; rows, or edges between names, that one task labels.
+CHUNK, ONE = 1_000_000, 200_000
 #: Values of a part that one task evaluates, at most; pairs of values held at once (or one part's), and bindings made at once.
 NODES, CELLS, WAYS = 1024, 8_000_000, 2_000_000
 #: Given rows of a task, about.
@@ -95,7 +95,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int | None) -> Iterator[lis
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _label(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _label(rows: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows k, a, b with their part's name r in this chunk; and with k = -1, each value a once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +142,15 @@ def tasks(run: Evaluation, rows: int) -> int:
 
 def parts(run: Evaluation, rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
     """n rows k, a, b as small, large: k, a, b, g, where g names the part; large holds parts beyond NODES values, if any."""
-    many = tasks(run, n)
-    tagged = run.cut(rows.repartitionByRange(many, "a").mapInArrow(_label(CHUNK), "k int, a bigint, b bigint, r bigint"))
-    values = tagged.where("k < 0").select("a", "r")
-    torn = run.cut(values.repartition(many, "a").groupBy("a").agg(F.min("r").alias("u"), F.max("r").alias("v")).where("u <> v"))
-    edges = values.join(torn.select("a", F.col("u").alias("v")), "a").where("r <> v").select(F.col("r").alias("u"), "v").distinct()
-    names = _names(run, run.cut(edges))
+    many, names, schema = tasks(run, n), None, "k int, a bigint, b bigint, r bigint"
+    if n <= ONE:
+        tagged = run.cut(rows.coalesce(1).mapInArrow(_label(None), schema))
+    else:
+        tagged = run.cut(rows.repartitionByRange(many, "a").mapInArrow(_label(CHUNK), schema))
+        values = tagged.where("k < 0").select("a", "r")
+        torn = run.cut(values.repartition(many, "a").groupBy("a").agg(F.min("r").alias("u"), F.max("r").alias("v")).where("u <> v"))
+        edges = values.join(torn.select("a", F.col("u").alias("v")), "a").where("r <> v").select(F.col("r").alias("u"), "v").distinct()
+        names = _names(run, run.cut(edges))
     if names is None:
         named = tagged.withColumnRenamed("r", "g")
     else:

@@ -166,11 +166,11 @@ class RulePlan:
         return bool(self.rule.calls()) or any((a.expr if isinstance(a, Agg) else a).can_fault() for a in self.rule.head.args)
 
 
-def aggregate(rows: DataFrame, position: int, op: str, arity: int) -> DataFrame:
-    """One row per key from distinct head rows; a global aggregate of no rows is no row."""
+def aggregate(rows: DataFrame, position: int, op: str, arity: int, sets: bool = False) -> DataFrame:
+    """One row per key from distinct head rows (``sets``: they are); a global aggregate of no rows is no row."""
     value = f"c{position}"
     keys = [c for c in cells(arity) if c != value]
-    rows = rows.distinct() if op in ("count", "sum") else rows
+    rows = rows.distinct() if op in ("count", "sum") and not sets else rows
     how = {"count": F.count(F.lit(1)), "sum": F.sum(value), "min": F.min(value), "max": F.max(value)}[op].alias(value)
     if keys:
         return rows.groupBy(*keys).agg(how).select(*cells(arity))

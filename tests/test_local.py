@@ -122,3 +122,22 @@ def test_nulls_of_a_head_that_is_given(spark, engine, monkeypatch):
         assert sorted(map(tuple, engine.query(text, {"R": given})["Q"].collect())) == want
         rows = [tuple(r) for r in engine.query(text, {"R": given})["R"].collect()]
         assert len(rows) == len(want) + 2 and set(rows) == {*want, (None, 1), (9, None)}
+
+
+def test_witnesses_take_one_evaluation(spark, monkeypatch):
+    """The catalogue's query finds the row to explain in the result that explains it, and the closure is written once."""
+    from hornlog import Engine, catalog
+    from hornlog.operators.context import Evaluation
+
+    seen, cut, interpret = [], Evaluation.cut, Engine._interpret
+    monkeypatch.setattr(Engine, "_interpret", lambda *a: seen.append("run") or interpret(*a))
+    monkeypatch.setattr(Evaluation, "cut", lambda run, df: seen.append(df.columns) or cut(run, df))
+    assert catalog.witnesses(spark, "/root/testdata/sf0.001").count() == 2
+    assert seen.count("run") == 1 and seen.count(["k", "a", "b"]) == 1
+    assert seen.count(["c0", "c1"]) == 3  # the loop's start, its edges, and the counts
+
+
+def test_counts_of_a_relation_that_may_repeat(spark, engine):
+    text = ".in .decl E(x: number, y: number) .printsize .decl N(x: number, n: number) .printsize .decl M(x: number, n: number) .printsize .decl K(x: number, n: number) D(x, y) :- E(x, y). N(x, count(y)) :- D(x, y). M(x, count(x)) :- D(x, y). K(x, count(y)) :- E(x, y)."
+    got = engine.query(text, {"E": spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 2)], "x bigint, y bigint")})
+    assert {n: sorted(map(tuple, got[n].collect())) for n in "NMK"} == {"N": [(1, 2), (2, 1)], "M": [(1, 1), (2, 1)], "K": [(1, 2), (2, 1)]}
