@@ -36,6 +36,8 @@ COMPACT_EVERY = 8
 LARGE, FEW = 5_000_000, 200_000
 #: Squaring stops where a round would derive more rows than SQUARES for each row so far, and SPARE besides.
 SQUARES, SPARE = 6, 1_000_000
+#: A join is spread where it makes more rows than SPREAD for each row read, and SPARE besides; rows of a task of other joins, at most about.
+SPREAD, TASK_ROWS = 16, 1_000_000
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -124,8 +126,9 @@ class Interpreter:
                 for r in rules:
                     plan = self.plan(r)
                     strict |= plan.strict()
-                    parts.append(plan.rows(lambda a, _: self.state(a.relation)))
-                df = self._settled(name, parts, len(rules) == 1 and self._keeps_rows(rules[0]))
+                    rows, sets = self._once(plan)
+                    parts.append(rows)
+                df = self._settled(name, parts, len(rules) == 1 and (sets or self._keeps_rows(rules[0])))
             self.written.discard(name)
             if strict or (self.share and self.readers.get(name, 0) > 1):
                 df = self.run.cut(df)
@@ -135,6 +138,21 @@ class Interpreter:
                 self.run.rule_seconds[r.number] = self.run.rule_seconds.get(r.number, 0) + (time.monotonic() - began) / len(rules)
         self.states.update(out)
 
+    def _once(self, plan: RulePlan) -> tuple[DataFrame, bool]:
+        """A rule's rows, and whether they are distinct; a join of given tables is counted first, to deal it over enough tasks."""
+
+        def source(a: Atom, k: int) -> DataFrame:
+            return self.state(a.relation)
+
+        if plan.pair() and all(a.relation not in self.shape for a in plan.atoms):
+            given, pairs = plan.sizes(source)
+            if plan.spreads() and pairs > SPREAD * given + SPARE:
+                return plan.spread(source, pairs), True
+            tasks = int(max(given, pairs) // TASK_ROWS) + 1
+            if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+                plan.tasks = tasks
+        return plan.rows(source), False
+
     def _recursive(self, stratum: Stratum) -> None:
         heads = list(dict.fromkeys(r.head.relation for r in stratum.rules))
         shapes = {h: self.shape[h] for h in heads}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import FAULT, Function
@@ -19,6 +19,8 @@ from ..lang.ast import Agg, Atom, Compare, Const, Expr, Rule, Var
 from ..plans.joins import join_order
 
 UNIT = "__unit"
+#: Rows of a side of a spread join's cells, about, and pairs of one of its tasks.
+SIDE, PAIRS = 2_000, 16_000_000
 
 
 def cells(arity: int) -> list[str]:
@@ -47,6 +49,7 @@ class RulePlan:
         many = len(self.atoms) > 2
         self.structural = many and (rule.plan or optimize in (2, 3))
         self.sip = many and (rule.sip or optimize in (1, 3))
+        self.tasks: int | None = None  # of joins, where the session's number would make them large
 
     def of(self, x: Var | Const) -> Column:
         return F.col(self.column[x.name]) if isinstance(x, Var) else constant(x.value)
@@ -114,6 +117,8 @@ class RulePlan:
                 df = images[k]
             else:
                 on = [self.column[v] for v in sorted(mine & bound, key=lambda v: self.column[v])]
+                if on:
+                    df, images[k] = self._dealt(df, on), self._dealt(images[k], on)
                 if not mine or mine <= bound:  # restricts only
                     df = df.join(images[k], on, "left_semi") if on else df.crossJoin(images[k].withColumnRenamed(UNIT, f"{UNIT}{n}")).drop(f"{UNIT}{n}")
                 else:
@@ -123,7 +128,8 @@ class RulePlan:
                 df = df.where(self.compare(c))
                 compares.remove(c)
             for a, other in [x for x in negated if set(x[0].variables()) <= bound]:
-                df = df.join(other, [self.column[v] for v in a.variables()], "left_anti")
+                on = [self.column[v] for v in a.variables()]
+                df = self._dealt(df, on).join(self._dealt(other, on), on, "left_anti") if on else df.join(other, on, "left_anti")
                 negated.remove((a, other))
             if n + 1 < len(order):  # a filter that can be tested now spares later joins; if it faults, the row stays
                 for c in calls:
@@ -136,6 +142,9 @@ class RulePlan:
             df = df.where(self.compare(c))
         return df.where(F.lit(False)) if rule.never() else df
 
+    def _dealt(self, df: DataFrame, on: list[str]) -> DataFrame:
+        return df.repartition(self.tasks, *on) if self.tasks else df
+
     def _call(self, c, lenient: bool = False) -> Column:
         f = self.functions[c.function]
         if f.expression is not None:
@@ -159,7 +168,61 @@ class RulePlan:
         return body.select(*[a.alias(f"c{k}") for k, a in enumerate(args)]) if args else body.select(F.lit(1).alias(UNIT))
 
     def rows(self, source: Callable[[Atom, int], DataFrame], first: int | None = None) -> DataFrame:
-        return self.head(self.body(source, first))
+        out = self.head(self.body(source, first))
+        return out if self.rule.negated() else self._dealt(out, out.columns)
+
+    def pair(self) -> tuple[set[str], set[str], set[str]] | None:
+        """Of two atoms joined on variables of which the head drops some: each one's other variables, and the shared ones."""
+        if len(self.atoms) != 2 or self.rule.calls() or self.rule.never():
+            return None
+        a, b = (set(x.variables()) & self.needed() for x in self.atoms)
+        head = {v for x in self.rule.head.args for v in (x.expr if isinstance(x, Agg) else x).variables()}
+        return (a - b, b - a, a & b) if a & b and not a & b <= head else None
+
+    def sizes(self, source: Callable[[Atom, int], DataFrame]) -> tuple[float, float]:
+        """Rows that both atoms of a pair read, and rows that their join makes."""
+        keys = [self.column[v] for v in sorted(self.pair()[2])]
+        a, b = (self.image(x, source(x, k), self.needed()).groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(f"n{k}")) for k, x in enumerate(self.atoms))
+        found = a.join(b, keys, "full").agg(F.sum("n0"), F.sum("n1"), F.sum(F.col("n0") * F.col("n1"))).first()
+        return (found[0] or 0) + (found[1] or 0), found[2] or 0
+
+    def spreads(self) -> bool:
+        """Whether ``spread`` gives the rule's rows: a pair whose head is just both atoms' own variables."""
+        a, b, shared = self.pair()
+        head = [x.first if isinstance(x, Expr) and not x.rest else None for x in self.rule.head.args]
+        if not a or not b or self.rule.negated() or not all(isinstance(x, Var) for x in head):
+            return False
+        return {x.name for x in head} == a | b and not any(set(c.variables()) & shared for c in self.rule.compares())
+
+    def spread(self, source: Callable[[Atom, int], DataFrame], pairs: float) -> DataFrame:
+        """The head's rows, each once, without comparing them, where few keys join many rows.
+
+        The pairs of a key are cut into cells of SIDE rows by SIDE rows, dealt over all tasks.  Two rows meet once at
+        most if one of them has a single key; only what is left of the others is made distinct."""
+        *own, shared = self.pair()
+        keys, tasks = [self.column[v] for v in sorted(shared)], int(pairs // PAIRS) + 1
+        own = [[self.column[v] for v in sorted(x)] for x in own]
+        sides = []
+        for k, atom in enumerate(self.atoms):
+            rows = self.image(atom, source(atom, k), self.needed()).distinct()
+            sides.append(rows.withColumn(f"one{k}", F.count(F.lit(1)).over(Window.partitionBy(*own[k])) == 1))
+        counts = [x.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("bigint").alias(f"n{k}")) for k, x in enumerate(sides)]
+        cells_of = counts[0].join(counts[1], keys)
+
+        def pieces(rows: DataFrame, k: int) -> DataFrame:
+            mine, other = F.pmod(F.xxhash64(*own[k]), F.col(f"n{k}")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n{1 - k}") - 1))
+            cut = rows.join(cells_of, keys).withColumn(f"p{k}", mine).withColumn(f"p{1 - k}", other)
+            return cut.drop("n0", "n1").repartition(tasks, *keys, "p0", "p1")
+
+        def met(a: DataFrame, b: DataFrame) -> DataFrame:
+            df = pieces(a, 0).hint("merge").join(pieces(b, 1), [*keys, "p0", "p1"])
+            for c in self.rule.compares():
+                df = df.where(self.compare(c))
+            return df
+
+        left, right = sides
+        once = self.head(met(left, right).where("one0 or one1"))
+        return once.union(self.head(met(left.where("not one0"), right.where("not one1"))).distinct())
 
     def strict(self) -> bool:
         """Whether a value that nobody reads must be computed all the same, because it may fault."""

@@ -141,3 +141,35 @@ def test_counts_of_a_relation_that_may_repeat(spark, engine):
     text = ".in .decl E(x: number, y: number) .printsize .decl N(x: number, n: number) .printsize .decl M(x: number, n: number) .printsize .decl K(x: number, n: number) D(x, y) :- E(x, y). N(x, count(y)) :- D(x, y). M(x, count(x)) :- D(x, y). K(x, count(y)) :- E(x, y)."
     got = engine.query(text, {"E": spark.createDataFrame([(1, 2), (1, 2), (1, 3), (2, 2)], "x bigint, y bigint")})
     assert {n: sorted(map(tuple, got[n].collect())) for n in "NMK"} == {"N": [(1, 2), (2, 1)], "M": [(1, 1), (2, 1)], "K": [(1, 2), (2, 1)]}
+
+
+def test_joins_of_few_keys_are_spread(spark, engine, monkeypatch):
+    """Many rows a key: the pairs come from many tasks, each pair once, also where two rows share several keys."""
+    from hornlog.operators import fixpoint, rules
+
+    monkeypatch.setattr(fixpoint, "SPARE", 0)
+    monkeypatch.setattr(rules, "SIDE", 7)
+    monkeypatch.setattr(rules, "PAIRS", 200)
+    text = ".in .decl S(a: number, n: number) .printsize .decl R(a: number, b: number) R(a, b) :- S(a, n), S(b, n), a != b."
+    rows = [(k, k % 2) for k in range(120)] + [(k, (k + 1) % 2) for k in range(0, 120, 5)] + [(3, 1), (None, 1), (500, None)]
+    want = {(a, b) for a, n in rows for b, m in rows if n is not None and n == m and a is not None and b is not None and a != b}
+    got = engine.query(text, {"S": spark.createDataFrame(rows, "a bigint, n bigint")})["R"]
+    found = got.withColumn("task", __import__("pyspark").sql.functions.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:2] for r in found) == sorted(want)
+    sizes = {}
+    for r in found:
+        sizes[r["task"]] = sizes.get(r["task"], 0) + 1
+    assert len(sizes) > 8 and max(sizes.values()) < len(want) / 4
+
+
+def test_large_joins_are_dealt_over_more_tasks(spark, engine, monkeypatch):
+    """The number of tasks of a join follows the rows that it makes, not the session's setting alone."""
+    from hornlog.operators import fixpoint
+
+    monkeypatch.setattr(fixpoint, "TASK_ROWS", 10)
+    monkeypatch.setattr(fixpoint, "SPREAD", 10**9)
+    edges = [(k, (3 * k + j) % 60) for k in range(60) for j in (1, 2)] + [(1, 4), (None, 3)]
+    pairs = {(x, z) for x, y in edges for a, z in edges if a == y and x is not None}
+    for rule, want in (("R(x, z) :- E(x, y), E(y, z), !E(x, z).", pairs - set(edges)), ("R(x, z) :- E(x, y), E(y, z).", pairs)):
+        got = engine.query(".in .decl E(x: number, y: number) .printsize .decl R(x: number, z: number) " + rule, {"E": spark.createDataFrame(edges, "x bigint, y bigint")})["R"]
+        assert sorted(map(tuple, got.collect())) == sorted(want) and got.rdd.getNumPartitions() > 8
