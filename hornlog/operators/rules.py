@@ -19,8 +19,8 @@ from ..lang.ast import Agg, Atom, Compare, Const, Expr, Rule, Var
 from ..plans.joins import join_order
 
 UNIT = "__unit"
-#: Rows of a side of a spread join's cells, about, and pairs of one of its tasks.
-SIDE, PAIRS = 2_000, 16_000_000
+#: Rows of a side of a spread join's cells, about, and pairs of one of its tasks; rows of a task that counts a join's pairs.
+SIDE, PAIRS, COUNTED = 2_000, 16_000_000, 1_000_000
 
 
 def cells(arity: int) -> list[str]:
@@ -181,10 +181,13 @@ class RulePlan:
 
     def sizes(self, source: Callable[[Atom, int], DataFrame]) -> tuple[float, float]:
         """Rows that both atoms of a pair read, and rows that their join makes."""
-        keys = [self.column[v] for v in sorted(self.pair()[2])]
-        a, b = (self.image(x, source(x, k), self.needed()).groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(f"n{k}")) for k, x in enumerate(self.atoms))
-        found = a.join(b, keys, "full").agg(F.sum("n0"), F.sum("n1"), F.sum(F.col("n0") * F.col("n1"))).first()
-        return (found[0] or 0) + (found[1] or 0), found[2] or 0
+        keys, given = [self.column[v] for v in sorted(self.pair()[2])], [source(x, k) for k, x in enumerate(self.atoms)]
+        images = [self.image(x, g, self.needed()).select(*keys) for x, g in zip(self.atoms, given, strict=True)]
+        both = images[0].select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).union(images[1].select(*keys, F.lit(0), F.lit(1)))
+        tasks = sum(g.count() for g in given) // COUNTED + 1
+        dealt = both.repartition(tasks, *keys) if tasks > 8 else both
+        n = dealt.groupBy(*keys).agg(*[F.sum(c).cast("double").alias(c) for c in "lr"]).agg(F.sum("l"), F.sum("r"), F.sum(F.col("l") * F.col("r"))).first()
+        return (n[0] or 0) + (n[1] or 0), n[2] or 0
 
     def spreads(self) -> bool:
         """Whether ``spread`` gives the rule's rows: a pair whose head is just both atoms' own variables."""
